@@ -166,12 +166,46 @@ def with_top_bottom(df: DataFrame, by: list[str], value: str, fraction: float, t
     c = c.select(*by, value, (take - above).alias("_top_left"), (take - F.col("_n_before")).alias("_low_left"),
                  F.col("_n"))
     joined = df.join(c, [*by, value], "left")
-    edge = (((F.col("_top_left") > 0) & (F.col("_top_left") < F.col("_n")))
-            | ((F.col("_low_left") > 0) & (F.col("_low_left") < F.col("_n"))))
-    in_value = Window.partitionBy(*by, value).orderBy(tie)
-    edges = joined.where(edge).withColumn("_pos", F.row_number().over(in_value))
-    rest = joined.where(~F.coalesce(edge, F.lit(False))).withColumn("_pos", F.lit(1))
+    tied_out = (F.col("_top_left") < F.col("_n")) & (F.col("_top_left") > 0)
+    tied_low = (F.col("_low_left") < F.col("_n")) & (F.col("_low_left") > 0)
+    edge = F.coalesce(tied_out | tied_low, F.lit(False))
+    edges = with_text_position(joined.where(edge), [*by, value], tie, "_pos")
+    rest = joined.where(~edge).withColumn("_pos", F.lit(1).cast("bigint"))
     return (edges.unionByName(rest)
             .withColumns({"is_top": F.coalesce(F.col("_pos") <= F.col("_top_left"), F.lit(False)),
                           "is_bottom": F.coalesce(F.col("_pos") <= F.col("_low_left"), F.lit(False))})
             .drop("_top_left", "_low_left", "_n", "_pos"))
+
+
+def with_text_position(df: DataFrame, by: list[str], text: str, out: str, prefix: int = 2) -> DataFrame:
+    """1-based position of each row in ``text`` order inside its group.
+
+    The group is split by an order-keeping prefix of the text, so rows are numbered inside
+    (group, prefix) and shifted by the count of all smaller prefixes.
+    """
+    marked = df.withColumn("_prefix", F.substring(text, 1, prefix))
+    counts = marked.groupBy(*by, "_prefix").agg(F.count("*").alias("_count"))
+    earlier = Window.partitionBy(*by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_prefix", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*by, "_prefix").orderBy(text)
+    return (marked.join(offsets, [*by, "_prefix"])
+            .withColumn(out, F.row_number().over(inside) + F.col("_shift")).drop("_prefix", "_shift"))
+
+
+def with_global_position(df: DataFrame, keys: list[tuple[str, bool]], out: str) -> DataFrame:
+    """1-based position of each row in a total order over the whole frame, without one sort of
+    everything in one task.
+
+    Rows are split by a monotone bin of the first (numeric) key, numbered inside the bin and
+    shifted by the count of all earlier bins.  ``keys`` are (column, ascending).
+    """
+    name, ascending = keys[0]
+    marked = df.withColumn("_bin", monotone_bin(F.col(name).cast("double")))
+    order = [F.col(c).asc() if up else F.col(c).desc() for c, up in keys]
+    bin_order = F.col("_bin").asc() if ascending else F.col("_bin").desc()
+    earlier = Window.partitionBy(F.lit(0)).orderBy(bin_order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy("_bin").agg(F.count("*").alias("_count"))
+    shifts = counts.select("_bin", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_bin").orderBy(*order)
+    return (marked.join(shifts, "_bin").withColumn(out, F.row_number().over(inside) + F.col("_shift"))
+            .drop("_bin", "_shift"))

@@ -79,7 +79,7 @@ def _trend_sql(n):
 @query("r111_trend", f"""WITH {RETS},
  t AS (SELECT *, abs(c - pc) AS step, CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END AS pos FROM rets),
  u AS (SELECT date, ticker, {", ".join(_trend_sql(n) for n in Q.TREND_WINDOWS)} FROM t {WINDOWS})
- SELECT {D}, {", ".join(r(f'ln(1 + s{n})', f'quant_trend_slope_{n}d') + ', ' + r(f'q{n}', f'quant_trend_r2_{n}d') + ', '
+ SELECT {D}, {", ".join(r(f'sign(s{n}) * ln(1 + abs(s{n}))', f'quant_trend_slope_{n}d') + ', ' + r(f'q{n}', f'quant_trend_r2_{n}d') + ', '
                         + r(f'sign(s{n} * q{n}) * ln(1 + abs(s{n} * q{n}))', f'quant_trend_strength_{n}d') + ', '
                         + r(f'e{n}', f'quant_efficiency_ratio_{n}d') + ', ' + r(f'p{n}', f'quant_positive_day_ratio_{n}d')
                         for n in Q.TREND_WINDOWS)} FROM u""")
@@ -89,7 +89,7 @@ def _(spark, d):
     logs = {}
     for n in Q.TREND_WINDOWS:
         slope, strength = F.col(f"quant_trend_slope_{n}d"), F.col(f"quant_trend_strength_{n}d")
-        logs[f"quant_trend_slope_{n}d"] = F.log1p(slope)
+        logs[f"quant_trend_slope_{n}d"] = F.signum(slope) * F.log1p(F.abs(slope))
         logs[f"quant_trend_strength_{n}d"] = F.signum(strength) * F.log1p(F.abs(strength))
     names = [f"quant_{x}_{n}d" for n in Q.TREND_WINDOWS
              for x in ("trend_slope", "trend_r2", "trend_strength", "efficiency_ratio", "positive_day_ratio")]

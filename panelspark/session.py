@@ -15,7 +15,7 @@ DEFAULT_GROUP_BYTES = 256 * 1024 * 1024
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the relations under ``df``, as Catalyst's statistics give them (no job)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def fits_one_task(df: DataFrame) -> bool:
