@@ -181,7 +181,8 @@ def snapshots_to_intervals(snapshots: DataFrame, final_end: Column, members: str
     dates = distinct_dates(snapshots).select(
         DATE, F.coalesce(F.date_sub(F.lead(DATE).over(w), 1), final_end).alias("end_date"))
     return (snapshots.join(F.broadcast(dates), DATE)
-            .select(F.trim(F.explode(F.split(members, ","))).alias(TICKER), F.col(DATE).alias("start_date"), "end_date"))
+            .select(F.explode(F.split(members, ",")).alias(TICKER), F.col(DATE).alias("start_date"), "end_date")
+            .withColumn(TICKER, F.trim(TICKER)))
 
 
 def aligned(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
