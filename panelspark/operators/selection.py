@@ -1,17 +1,544 @@
-"""Feature selection: datasets, scores, gates, correlation matrices, pruning, grouping, search."""
+"""Feature selection: scores, gates, false-discovery control, pruning, grouping, search, report.
+
+Rows are only touched by partial aggregates, ranks per (feature, date) and bounded samples; what
+is left after that has one row per feature, feature pair or (feature, fold), so its size follows
+the schema's width, not the data.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from itertools import chain
+from math import ceil
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelspark.contract import DATE, KEY, MODEL_TARGET, REALIZED_RETURN, TICKER
+from panelspark.functions.stats import binomial_tail
+from panelspark.operators.signals import daily_signal_diagnostics
+from panelspark.session import cut_lineage, fits_one_task
+
+# Default thresholds.
+MIN_COVERAGE = 0.90
+POSITIVE_SHARE, PNL_SHARE, PNL_FLOOR = 0.50, 0.40, -0.0005
+FDR_ALPHA = 0.10
+LINEAR_THRESHOLD = DISTANCE_THRESHOLD = 0.80
+LINEAR_SAMPLE, DISTANCE_SAMPLE, TARGET_SAMPLE = 50_000, 512, 2048
+TARGET_THRESHOLD = 0.005
+MAX_GROUP_SIZE, SELECTED_FEATURES = 64, 30
+PEARSON_PRESCREEN, STRONG_EDGE = 0.90, 0.95
+
+FAMILIES = {"xtb_": "broker", "sector_": "sector", "open_": "open", "earnings_": "earnings", "signal_": "signal", "ta_": "ta",
+            "quant_": "quant", "deep_": "deep", "calendar_": "calendar", "sentiment_": "sentiment", "macro_": "macro",
+            "cross_asset_": "cross_asset", "company_": "company", "stock_": "stock"}
+
+
+def feature_family(name: str) -> str:
+    return next((family for prefix, family in FAMILIES.items() if name.startswith(prefix)), "other")
 
-from panelspark.contract import DATE, TICKER
+
+def feature_stem(name: str) -> str:
+    """Name without its trailing window or lag."""
+    return re.sub(r"_(?:lag_)?\d+d?$", "", name).rstrip("_")
 
 
 def selected_features(df: DataFrame, protected: list[str], context: list[str], selected: list[str]) -> DataFrame:
     """date, ticker, protected columns, context columns as ``hl_context_*`` and the selected features;
     a context column that is itself selected appears under both names."""
-    names = dict.fromkeys(c for c in [*protected, *selected] if c in df.columns and c not in (DATE, TICKER))
+    names = dict.fromkeys(c for c in [*protected, *selected] if c in df.columns and c not in KEY)
     return df.select(DATE, TICKER, *[c for c in names if c in protected],
                      *[F.col(c).alias(f"hl_context_{c}") for c in context if c in df.columns],
                      *[c for c in names if c not in protected])
+
+
+def unpivot_features(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])
+    return df.select(*keep, F.inline(pairs))
+
+
+def named(features: DataFrame) -> DataFrame:
+    """Add family and stem to a frame with one row per ``feature``."""
+    prefixes = F.coalesce(*[F.when(F.col("feature").startswith(p), f) for p, f in FAMILIES.items()], F.lit("other"))
+    return features.withColumns({"feature_family": prefixes,
+                                 "feature_stem": F.rtrim(F.regexp_replace("feature", r"_(?:lag_)?\d+d?$", ""), F.lit("_"))})
+
+
+def coverage(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, coverage_fraction): share of finite values, one aggregation."""
+    def share(c):
+        return F.avg(F.coalesce((F.abs(F.col(c).cast("double")) < float("inf")), F.lit(False)).cast("double"))
+    one = df.agg(*[share(c).alias(c) for c in features])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("coverage_fraction")) for c in features])))
+
+
+# --- single-feature scores -----------------------------------------------------------------------------
+
+
+def fold_slopes(df: DataFrame, folds: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(feature, fold, slope): least squares of the target on one feature over the fold's train dates.
+
+    Moments are summed per (feature, date) once and reused by every fold.
+    """
+    long = unpivot_features(df, features, [DATE, target]).where(F.col("x").isNotNull() & F.col(target).isNotNull())
+    x, y = F.col("x"), F.col(target)
+    moments = {"n": F.count("*"), "sx": F.sum(x), "sy": F.sum(y), "sxy": F.sum(x * y), "sxx": F.sum(x * x)}
+    daily = long.groupBy("feature", DATE).agg(*[c.alias(k) for k, c in moments.items()])
+    train = folds.where(F.col("role") == "train").select("fold", DATE)
+    total = daily.join(F.broadcast(train), DATE).groupBy("feature", "fold").agg(*[F.sum(k).alias(k) for k in moments])
+    covariance = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    return total.select("feature", "fold", F.try_divide(covariance, F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")).alias("slope"))
+
+
+def fold_scores(daily: DataFrame, by: str) -> DataFrame:
+    """Per (by, fold): mean IC, its information ratio, mean spread; a fold weighs 1."""
+    mean, std = F.avg("rank_ic"), F.stddev_pop("rank_ic")
+    return daily.groupBy(by, "fold").agg(
+        mean.alias("daily_rank_ic_mean"), F.when(std <= 1e-12, 0.0).otherwise(F.try_divide(mean, std)).alias("daily_rank_ic_ir"),
+        F.avg("top_bottom_spread").alias("daily_top_bottom_spread_mean"), F.avg("top_bottom_spread").alias("net_pnl_after_costs"),
+        F.lit(1.0).alias("weight"))
+
+
+def aggregate_fold_scores(scores: DataFrame, by: str, metrics: tuple[str, ...] = (
+        "net_pnl_after_costs", "daily_rank_ic_mean", "daily_rank_ic_ir", "daily_top_bottom_spread_mean")) -> DataFrame:
+    """Weighted means over folds, shares of positive folds, median and lower quartile of the P&L."""
+    w = F.col("weight")
+    pnl, ic = F.col("net_pnl_after_costs"), F.col("daily_rank_ic_mean")
+    return scores.groupBy(by).agg(
+        *[F.try_divide(F.sum(w * F.col(m)), F.sum(F.when(F.col(m).isNotNull(), w))).alias(f"weighted_{m}") for m in metrics],
+        F.avg((ic > 0).cast("double")).alias("positive_fold_share"), F.avg((pnl > 0).cast("double")).alias("pnl_positive_fold_share"),
+        F.percentile(pnl, F.lit(0.5)).alias("median_fold_net_pnl"), F.percentile(pnl, F.lit(0.25)).alias("lower_quartile_fold_net_pnl"),
+    ).withColumn("objective_score", F.col("weighted_daily_rank_ic_mean"))
+
+
+def sfi_gate() -> Column:
+    return F.coalesce((F.col("objective_score") > 0) & (F.col("weighted_daily_rank_ic_ir") > 0)
+                      & (F.col("positive_fold_share") >= POSITIVE_SHARE), F.lit(False))
+
+
+def selection_gate() -> Column:
+    return sfi_gate() & F.coalesce((F.col("weighted_daily_top_bottom_spread_mean") > 0) & (F.col("pnl_positive_fold_share") >= PNL_SHARE)
+                                   & (F.col("lower_quartile_fold_net_pnl") >= PNL_FLOOR), F.lit(False))
+
+
+def single_feature_folds(df: DataFrame, folds: DataFrame, features: list[str], target: str = MODEL_TARGET,
+                         realized: str = REALIZED_RETURN, top_fraction: float = 0.01) -> DataFrame:
+    """Per (feature, fold) scores of a one-feature linear model: only the slope's sign can move a
+    rank measure, so the signed feature itself is the prediction."""
+    slopes = fold_slopes(df, folds, features, target)
+    validation = folds.where(F.col("role") == "validation").select(DATE, "fold")
+    long = unpivot_features(df, features, list(dict.fromkeys([*KEY, target, realized]))).join(F.broadcast(validation), DATE)
+    signed = long.join(slopes, ["feature", "fold"]).withColumn("prediction", F.signum("slope") * F.col("x"))
+    daily = daily_signal_diagnostics(signed, "prediction", target, realized, top_fraction, ("feature", "fold", DATE), row_key=("feature", *KEY))
+    return fold_scores(daily, "feature")
+
+
+def single_feature_scores(df: DataFrame, folds: DataFrame, features: list[str], target: str = MODEL_TARGET,
+                          realized: str = REALIZED_RETURN, top_fraction: float = 0.01) -> DataFrame:
+    scored = aggregate_fold_scores(single_feature_folds(df, folds, features, target, realized, top_fraction), "feature")
+    board = named(coverage(df, features).join(scored, "feature", "left"))
+    covered = F.col("coverage_fraction") >= MIN_COVERAGE
+    board = board.withColumns({"passes_coverage": covered, "passes_sfi": covered & sfi_gate()})
+    return board.withColumn("sfi_drop_reason", F.when(~covered, "low_coverage").when(F.coalesce("objective_score", F.lit(0.0)) <= 0, "non_positive_sfi")
+                            .when(~F.col("passes_sfi"), "failed_selection_gates").otherwise("retained"))
+
+
+def fdr_control(board: DataFrame, folds: int, alpha: float = FDR_ALPHA) -> DataFrame:
+    """Benjamini-Hochberg on the binomial tail of the positive folds (one row per feature)."""
+    hits = F.bround(F.col("positive_fold_share") * folds, 0)
+    board = board.withColumn("p_value", binomial_tail(F.coalesce(hits, F.lit(0.0)), folds))
+    whole = Window.partitionBy(F.lit(0))
+    below = F.count("*").over(whole.orderBy("p_value"))  # rows with a p-value up to this one
+    board = board.withColumn("_ok", F.col("p_value") <= alpha * below / F.count("*").over(whole))
+    cut = F.max(F.when(F.col("_ok"), F.col("p_value"))).over(whole)
+    board = board.withColumn("passes_fdr", F.coalesce(F.col("p_value") <= cut, F.lit(False))).drop("_ok")
+    rejected = F.col("passes_sfi") & ~F.col("passes_fdr")
+    return board.withColumns({"sfi_drop_reason": F.when(rejected, "rejected_fdr").otherwise(F.col("sfi_drop_reason")),
+                              "passes_sfi": F.col("passes_sfi") & F.col("passes_fdr")})
+
+
+def with_sfi_rank(board: DataFrame) -> DataFrame:
+    """Add ``sfi_rank``, best first (one row per feature)."""
+    order = [F.col(c).desc_nulls_last() for c in ("objective_score", "weighted_daily_rank_ic_ir", "coverage_fraction")]
+    return board.withColumn("sfi_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order, "feature")))
+
+
+# --- pair metrics over a bounded sample -------------------------------------------------------------------
+
+
+def feature_vectors(sample: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, values): one array per feature over the sample rows in key order.  ``sample`` has a
+    fixed maximum size, so an array does too."""
+    long = unpivot_features(sample, features, list(KEY))
+    ordered = F.sort_array(F.collect_list(F.struct(*KEY, "x")))
+    return long.groupBy("feature").agg(F.transform(ordered, lambda s: s["x"]).alias("values"))
+
+
+def feature_pairs(scopes: DataFrame) -> DataFrame:
+    """(scope, left, right) for each unordered pair of features sharing a scope.  The pair list is
+    as long as the schema allows and independent of the rows."""
+    names = scopes.groupBy("scope").agg(F.collect_set("feature").alias("_names"))
+    return (scopes.join(names, "scope").withColumn("right", F.explode(F.filter("_names", lambda n: n > F.col("feature"))))
+            .select("scope", F.col("feature").alias("left"), "right"))
+
+
+def _as_array(values) -> np.ndarray:
+    return np.array([np.nan if v is None else v for v in values], dtype=float)
+
+
+def abs_spearman(a: np.ndarray, b: np.ndarray) -> float:
+    """|Pearson| of own ranks over rows complete in both; 0 when undefined."""
+    x, y = pd.Series(a).rank().to_numpy(), pd.Series(b).rank().to_numpy()
+    return abs_pearson(x, y)
+
+
+def abs_pearson(x: np.ndarray, y: np.ndarray) -> float:
+    both = ~(np.isnan(x) | np.isnan(y))
+    x, y = x[both], y[both]
+    if len(x) < 2 or np.ptp(x) == 0 or np.ptp(y) == 0:
+        return 0.0
+    return float(abs(np.corrcoef(x, y)[0, 1]))
+
+
+def _fill_with_median(x: np.ndarray) -> np.ndarray:
+    known = np.isfinite(x)
+    return np.where(known, x, np.median(x[known]) if known.any() else 0.0)
+
+
+def distance_correlation(a: np.ndarray, b: np.ndarray) -> float:
+    """Distance correlation of two equally long vectors; a constant side gives 0."""
+    a, b = _fill_with_median(a), _fill_with_median(b)
+    if len(a) < 2 or len(a) != len(b) or np.ptp(a) == 0 or np.ptp(b) == 0:
+        return 0.0
+
+    def centred(x):
+        m = np.abs(x[:, None] - x[None, :])
+        return m - m.mean(axis=0) - m.mean(axis=1)[:, None] + m.mean()
+    p, q = centred(a), centred(b)
+    spread = np.sqrt((p * p).mean() * (q * q).mean())
+    return float(np.sqrt(max((p * q).mean() / spread, 0.0))) if spread > 0 else 0.0
+
+
+METRICS = {"spearman": abs_spearman, "pearson": abs_pearson, "distance": distance_correlation}
+
+
+def pair_metric(pairs: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
+    """Add ``value``: the metric of each pair, pairs spread over the cluster."""
+    fn = METRICS[metric]
+
+    @F.pandas_udf(T.DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([fn(_as_array(x), _as_array(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+    left = vectors.select(F.col("feature").alias("left"), F.col("values").alias("_a"))
+    right = vectors.select(F.col("feature").alias("right"), F.col("values").alias("_b"))
+    return pairs.join(left, "left").join(right, "right").withColumn("value", score("_a", "_b")).drop("_a", "_b")
+
+
+def spearman_matrix(sample: DataFrame, features: list[str]) -> DataFrame:
+    """(left, right, value) over the full square, diagonal 1."""
+    vectors = feature_vectors(sample, features)
+    upper = pair_metric(feature_pairs(vectors.select(F.lit("all").alias("scope"), "feature")), vectors, "spearman")
+    both = F.array(F.struct(F.col("left"), F.col("right")), F.struct(F.col("right").alias("left"), F.col("left").alias("right")))
+    square = upper.select(F.explode(both).alias("_p"), "value").select("_p.left", "_p.right", "value")
+    return square.unionByName(vectors.select(F.col("feature").alias("left"), F.col("feature").alias("right"), F.lit(1.0).alias("value")))
+
+
+# --- redundancy pruning ---------------------------------------------------------------------------------------
+
+AUDIT = ("stage_level string, scope_key string, feature string, decision string, representative_feature string, "
+         "reference_feature string, metric_value double")
+
+
+def greedy_prune(ranked: DataFrame, pairs: DataFrame, level: str, threshold: float) -> DataFrame:
+    """Per scope, best rank first: a feature goes when its metric with an already kept one reaches the
+    threshold.  Only pairs at or above the threshold travel."""
+    def prune(key, features: pd.DataFrame, strong: pd.DataFrame) -> pd.DataFrame:
+        close = {(a, b): v for a, b, v in zip(strong["left"], strong["right"], strong["value"], strict=True)}
+        kept: list[str] = []
+        rows = []
+        for name in features.sort_values(["sfi_rank", "feature"])["feature"]:
+            match = next((k for k in kept if (min(name, k), max(name, k)) in close), None)
+            if match is None:
+                kept.append(name)
+                rows.append((level, key[0], name, "keep", name, None, None))
+            else:
+                rows.append((level, key[0], name, "drop", match, match, close[min(name, match), max(name, match)]))
+        return pd.DataFrame(rows, columns=["stage_level", "scope_key", "feature", "decision", "representative_feature",
+                                           "reference_feature", "metric_value"])
+    strong = pairs.where(F.col("value") >= threshold).select(F.col("scope").alias("pair_scope"), "left", "right", "value")
+    features = ranked.select("scope", "feature", "sfi_rank")
+    return features.groupBy("scope").cogroup(strong.groupBy("pair_scope")).applyInPandas(prune, AUDIT)
+
+
+def prune_redundant(board: DataFrame, vectors: DataFrame, metric: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Stem, then family, then global pruning of the board's features; returns (survivors, audit).
+    ``board`` needs feature, feature_family, feature_stem and sfi_rank."""
+    current, audits = board.select("feature", "feature_family", "feature_stem", "sfi_rank"), []
+    for level, scope in (("stem", F.col("feature_stem")), ("family", F.col("feature_family")), ("global", F.lit("global"))):
+        scoped = current.withColumn("scope", scope)
+        pairs = pair_metric(feature_pairs(scoped.select("scope", "feature")), vectors, metric)
+        audit = cut_lineage(greedy_prune(scoped, pairs, level, threshold))
+        audits.append(audit)
+        current = current.join(audit.where("decision = 'keep'").select("feature"), "feature", "left_semi")
+    return current, audits[0].unionByName(audits[1]).unionByName(audits[2])
+
+
+def target_distance_filter(features: DataFrame, vectors: DataFrame, target: str, threshold: float = TARGET_THRESHOLD) -> DataFrame:
+    """(feature, target_distance_correlation, passes_target_correlation, drop_reason)."""
+    pairs = features.select(F.col("feature").alias("left"), F.lit(target).alias("right"))
+    scored = pair_metric(pairs, vectors, "distance")
+    passes = F.col("value") > threshold
+    return scored.select(F.col("left").alias("feature"), F.col("value").alias("target_distance_correlation"), passes.alias("passes_target_correlation"),
+                         F.when(passes, "retained").otherwise("low_target_distance_correlation").alias("drop_reason"))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(feature, component) of an edge list (left, right): the smallest name spreads along edges until
+    nothing changes.  Each round is checkpointed, so the plan does not grow."""
+    both = edges.select("left", "right").unionByName(edges.select(F.col("right").alias("left"), F.col("left").alias("right"))).distinct()
+    both = cut_lineage(both)
+    labels = cut_lineage(both.select(F.col("left").alias("feature"), F.col("left").alias("component")).distinct())
+    while True:
+        heard = (both.join(labels.withColumnRenamed("feature", "right"), "right").groupBy(F.col("left").alias("feature"))
+                 .agg(F.min("component").alias("_heard")))
+        updated = cut_lineage(labels.join(heard, "feature", "left").select(
+            "feature", F.least("component", "_heard").alias("component"), (F.col("_heard") < F.col("component")).alias("_moved")))
+        labels = updated.select("feature", "component")
+        if updated.where("_moved").isEmpty():
+            return labels
+
+
+def prune_correlated(sample: DataFrame, features: list[str], target: str, prescreen: float = PEARSON_PRESCREEN,
+                     strong: float = STRONG_EDGE) -> DataFrame:
+    """(feature, component, keep): components of near-identical features; each keeps the member with
+    the highest distance correlation to the target."""
+    vectors = feature_vectors(sample, [*features, target])
+    names = vectors.where(F.col("feature") != target).select(F.lit("all").alias("scope"), "feature")
+    close = pair_metric(feature_pairs(names), vectors, "pearson").where(F.col("value") >= prescreen).drop("value")
+    edges = pair_metric(close, vectors, "distance").where(F.col("value") >= strong)
+    members = connected_components(edges)
+    scored = target_distance_filter(members, vectors, target).select("feature", "target_distance_correlation")
+    best = Window.partitionBy("component").orderBy(F.col("target_distance_correlation").desc(), F.col("feature").desc())
+    return members.join(scored, "feature").withColumn("keep", F.row_number().over(best) == 1)
+
+
+# --- grouping -----------------------------------------------------------------------------------------------------
+
+
+def _components(names: list[str], linked) -> list[list[str]]:
+    found, left = [], set(names)
+    while left:
+        frontier, members = [min(left)], set()
+        while frontier:
+            name = frontier.pop()
+            if name in members:
+                continue
+            members.add(name)
+            frontier += [o for o in left if o not in members and linked(name, o)]
+        left -= members
+        found.append(sorted(members))
+    return sorted(found, key=lambda c: (len(c), c), reverse=True)
+
+
+def _spread_over_seeds(names: list[str], corr, size: int) -> list[list[str]]:
+    """Split a large component: far-apart seeds, then each feature to its closest seed with room."""
+    seeds = [min(names)]
+    while len(seeds) < ceil(len(names) / size):
+        rest = [n for n in names if n not in seeds]
+        seeds.append(max(rest, key=lambda n: min(1.0 - corr(n, s) for s in seeds)))
+    groups = {s: [s] for s in seeds}
+    for name in names:
+        if name not in groups:
+            near = sorted(seeds, key=lambda s: (-corr(name, s), s))
+            groups[next(s for s in near if len(groups[s]) < size)].append(name)
+    return [sorted(groups[s]) for s in sorted(groups)]
+
+
+def partition_bucket(names: list[str], value: dict[tuple[str, str], float], size: int = MAX_GROUP_SIZE) -> list[list[str]]:
+    """Groups of at most ``size``: cut the correlations at their largest gap, take components."""
+    names = sorted(names)
+    if len(names) <= size:
+        return [names]
+
+    def corr(a, b):
+        return 1.0 if a == b else value.get((min(a, b), max(a, b)), 0.0)
+    ordered = np.sort([corr(a, b) for i, a in enumerate(names) for b in names[i + 1:]])
+    # First largest step of 1 - |rho| along ascending |rho|.
+    steps = np.diff(1.0 - ordered)
+    at = int(np.argmax(steps)) if len(steps) else 0
+    cut = float((ordered[at] + ordered[at + 1]) / 2.0) if len(steps) else float(ordered[0])
+    components = _components(names, lambda a, b: corr(a, b) >= min(max(cut, 0.0), 1.0))
+    return list(chain.from_iterable([c] if len(c) <= size else _spread_over_seeds(c, corr, size) for c in components))
+
+
+def group_features(features: DataFrame, vectors: DataFrame, size: int = MAX_GROUP_SIZE) -> DataFrame:
+    """(group_id, feature_family, feature_stem, feature): buckets by family and stem, large ones split.
+    Pair metrics are only computed for buckets above the size."""
+    scoped = features.select("feature", "feature_family", "feature_stem", F.concat_ws(":", "feature_family", "feature_stem").alias("scope"))
+    large = scoped.groupBy("scope").agg(F.count("*").alias("_n")).where(F.col("_n") > size).select("scope")
+    pairs = pair_metric(feature_pairs(scoped.join(large, "scope", "left_semi").select("scope", "feature")), vectors, "spearman")
+
+    def split(key, rows: pd.DataFrame, metrics: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({"group_id": [], "feature": []})
+        value = {(a, b): v for a, b, v in zip(metrics["left"], metrics["right"], metrics["value"], strict=True)}
+        groups = partition_bucket(rows["feature"].tolist(), value, size)
+        return pd.DataFrame([(f"{key[0]}:0:{i}", name) for i, group in enumerate(groups, 1) for name in group], columns=["group_id", "feature"])
+    paired = pairs.select(F.col("scope").alias("pair_scope"), "left", "right", "value")
+    ids = scoped.groupBy("scope").cogroup(paired.groupBy("pair_scope")).applyInPandas(split, "group_id string, feature string")
+    return ids.join(scoped.drop("scope"), "feature")
+
+
+# --- forward group search --------------------------------------------------------------------------------------------
+
+
+def neighbour_states(current: tuple[str, ...], groups: list[str]) -> list[tuple[str, ...]]:
+    """All states one addition, replacement or removal away."""
+    inside, outside = set(current), [g for g in groups if g not in current]
+    states = {tuple(sorted(inside | {g})) for g in outside}
+    states |= {tuple(sorted(inside - {g} | {o})) for g in current for o in outside}
+    states |= {tuple(sorted(inside - {g})) for g in current}
+    return sorted(s for s in states if s)
+
+
+def score_states(states: dict[str, list[str]], df: DataFrame, folds: DataFrame, features: list[str], target: str, realized: str,
+                 grams: dict, top_fraction: float = 0.01, split: bool | None = None) -> DataFrame:
+    """Aggregate fold scores of many feature subsets in one job.
+
+    ``grams`` holds each fold's train moments over all features; a state's ridge model is a small
+    solve on its rows and columns.  Validation rows are scored for all states at once.
+    """
+    from panelspark.operators.models import ridge_from_moments
+    rows = []
+    for fold, moments in grams.items():
+        for state, names in states.items():
+            model = ridge_from_moments(moments, names)
+            coefficient = dict(zip(model.features, zip(model.coefficients, model.mean, model.std, strict=True), strict=True))
+            rows.append((state, int(fold), [float(coefficient[f][0] / coefficient[f][2]) if f in coefficient else 0.0 for f in features],
+                         [float(moments["mean"][i]) for i in range(len(features))]))
+    table = df.sparkSession.createDataFrame(rows, "state string, fold int, weights array<double>, means array<double>")
+    validation = folds.where(F.col("role") == "validation").select(DATE, F.col("fold").cast("int").alias("fold"))
+    base = (df.select(*dict.fromkeys([*KEY, target, realized]), F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+            .join(F.broadcast(validation), DATE))
+    # States x folds rows, a few kilobytes.
+    scored = base.join(F.broadcast(table), "fold")
+    centred = F.zip_with("_x", "means", lambda x, m: F.coalesce(x - m, F.lit(0.0)))
+    prediction = F.aggregate(F.zip_with(centred, F.col("weights"), lambda z, w: z * w), F.lit(0.0), lambda a, v: a + v)
+    scored = scored.withColumn("prediction", prediction).drop("_x", "weights", "means")
+    # The plan choice follows the rows, not the small table made here.
+    split = not fits_one_task(df) if split is None else split
+    daily = daily_signal_diagnostics(scored, "prediction", target, realized, top_fraction, ("state", "fold", DATE), split, ("state", *KEY))
+    return aggregate_fold_scores(fold_scores(daily, "state"), "state").withColumn("passes_gates", selection_gate())
+
+
+def search_groups(df: DataFrame, folds: DataFrame, groups: dict[str, list[str]], target: str = MODEL_TARGET, realized: str = REALIZED_RETURN,
+                  max_rounds: int = 8, top_fraction: float = 0.01) -> tuple[list[str], list[dict]]:
+    """Start from the best single group, then move to the best improving neighbour that passes the
+    gates.  One Spark job per round; the driver only sees one row per scored state."""
+    from panelspark.operators.models import fold_moments
+    features = sorted({f for names in groups.values() for f in names})
+    split = not fits_one_task(df)
+    # Every round reads these columns again, so they are stored once.
+    df = cut_lineage(df.select(*dict.fromkeys([*KEY, target, realized, *features])))
+    folds = cut_lineage(folds)
+    grams = fold_moments(df, folds, features, target)
+    seen: dict[tuple[str, ...], dict] = {}
+    history: list[dict] = []
+
+    def evaluate(states: list[tuple[str, ...]]) -> None:
+        fresh = [s for s in states if s not in seen]
+        if not fresh:
+            return
+        named_states = {"|".join(s): sorted({f for g in s for f in groups[g]}) for s in fresh}
+        for x in score_states(named_states, df, folds, features, target, realized, grams, top_fraction, split).collect():
+            seen[tuple(x["state"].split("|"))] = x.asDict()
+            history.append(x.asDict())
+
+    def best(states: list[tuple[str, ...]]):
+        known = [s for s in states if s in seen and seen[s]["objective_score"] is not None]
+        passing = [s for s in known if seen[s]["passes_gates"]]
+        return max(passing, key=lambda s: (seen[s]["objective_score"], s), default=None), max(
+            known, key=lambda s: (seen[s]["objective_score"], s), default=None)
+    singles = [(g,) for g in sorted(groups)]
+    evaluate(singles)
+    accepted, anchor = best(singles)
+    current = accepted or anchor
+    for _ in range(max_rounds):
+        if current is None:
+            break
+        options = neighbour_states(current, sorted(groups))
+        evaluate(options)
+        candidate, _any = best(options)
+        floor = seen[accepted]["objective_score"] if accepted else 0.0
+        if candidate is None or seen[candidate]["objective_score"] <= floor:
+            break
+        accepted = current = candidate
+    chosen = accepted or ()
+    return sorted({f for g in chosen for f in groups[g]}), history
+
+
+# --- report ------------------------------------------------------------------------------------------------------------
+
+
+def final_features(names: list[str], limit: int = SELECTED_FEATURES) -> list[str]:
+    return list(dict.fromkeys(names))[:limit]
+
+
+def selection_report(board: DataFrame, linear: DataFrame, distance: DataFrame, target_audit: DataFrame, selected: list[str]) -> DataFrame:
+    """Scores with one flag per stage, the final rank and the reason a feature dropped out."""
+    spark = board.sparkSession
+    ranks = spark.createDataFrame([(n, i) for i, n in enumerate(selected, 1)], "feature string, selection_rank int")
+    out = (board.join(linear.select("feature", F.lit(True).alias("selected_linear")), "feature", "left")
+           .join(distance.select("feature", F.lit(True).alias("selected_distance")), "feature", "left")
+           .join(target_audit.select("feature", "target_distance_correlation", F.col("passes_target_correlation").alias("selected_target_correlation")), "feature", "left")
+           .join(ranks, "feature", "left"))
+    stages = ("selected_linear", "selected_distance", "selected_target_correlation")
+    out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in stages}
+                          | {"selected": F.col("selection_rank").isNotNull(), "selection_rank": F.coalesce("selection_rank", F.lit(0))})
+    reason = (F.when(F.col("selected"), "selected").when(~F.col("passes_sfi"), "rejected_sfi").when(~F.col("selected_linear"), "rejected_linear_pruning")
+              .when(~F.col("selected_distance"), "rejected_distance_pruning")
+              .when(~F.col("selected_target_correlation"), "low_target_distance_correlation").otherwise("not_selected"))
+    return out.withColumn("drop_reason", reason)
+
+
+def selection_summary(report: DataFrame) -> DataFrame:
+    """Survivors per stage."""
+    return report.agg(F.count("*").alias("candidate_feature_count"), F.count_if("passes_sfi").alias("sfi_survivor_count"),
+                      F.count_if("selected_linear").alias("linear_survivor_count"), F.count_if("selected_distance").alias("distance_survivor_count"),
+                      F.count_if("selected_target_correlation").alias("target_correlation_survivor_count"), F.count_if("selected").alias("selected_feature_count"))
+
+
+def family_counts(groups: DataFrame) -> DataFrame:
+    return groups.groupBy("feature_family").agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("features"))
+
+
+def select_features(df: DataFrame, folds: DataFrame, features: list[str], fold_count: int, sample_for, target: str = MODEL_TARGET,
+                    realized: str = REALIZED_RETURN, top_fraction: float = 0.01, limit: int = SELECTED_FEATURES) -> dict[str, DataFrame]:
+    """Whole pipeline: scores and FDR, linear, distance and target pruning, groups, search, report.
+
+    ``sample_for(n)`` returns the bounded sample of ``df`` a pair metric runs on.
+    """
+    board = cut_lineage(with_sfi_rank(fdr_control(single_feature_scores(df, folds, features, target, realized, top_fraction), fold_count)))
+    survivors = board.where("passes_sfi")
+    linear_vectors = cut_lineage(feature_vectors(sample_for(LINEAR_SAMPLE), features))
+    linear, linear_audit = prune_redundant(survivors, linear_vectors, "spearman", LINEAR_THRESHOLD)
+    distance, distance_audit = prune_redundant(linear, cut_lineage(feature_vectors(sample_for(DISTANCE_SAMPLE), features)), "distance", DISTANCE_THRESHOLD)
+    target_vectors = feature_vectors(sample_for(TARGET_SAMPLE), [*features, target])
+    audit = cut_lineage(target_distance_filter(distance, target_vectors, target))
+    passing = distance.join(audit.where("passes_target_correlation"), "feature", "left_semi")
+    manifest = cut_lineage(group_features(passing, linear_vectors))
+    groups: dict[str, list[str]] = {}
+    for x in manifest.orderBy("group_id", "feature").collect():
+        groups.setdefault(x["group_id"], []).append(x["feature"])
+    chosen, history = search_groups(df, folds, groups, target, realized, top_fraction=top_fraction) if groups else ([], [])
+    fallback = [x["feature"] for x in passing.orderBy("sfi_rank").collect()]
+    selected = final_features(chosen or fallback, limit)
+    report = selection_report(board, linear, distance, audit, selected)
+    spark = df.sparkSession
+    trail = spark.createDataFrame([(h["state"], h["objective_score"], h["passes_gates"]) for h in history],
+                                  "state string, objective_score double, passes_gates boolean")
+    return {"report": report, "linear_audit": linear_audit, "distance_audit": distance_audit, "target_audit": audit, "groups": manifest,
+            "summary": selection_summary(report), "search": trail}
