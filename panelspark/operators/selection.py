@@ -297,7 +297,7 @@ def target_distance_filter(features: DataFrame, vectors: DataFrame, target: str,
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(feature, component) of an edge list (left, right): the smallest name spreads along edges until
-    nothing changes.  Each round is checkpointed, so the plan does not grow."""
+    nothing changes.  Each round is written out, so the plan does not grow."""
     both = edges.select("left", "right").unionByName(edges.select(F.col("right").alias("left"), F.col("left").alias("right"))).distinct()
     both = cut_lineage(both)
     labels = cut_lineage(both.select(F.col("left").alias("feature"), F.col("left").alias("component")).distinct())

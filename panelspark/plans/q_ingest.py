@@ -17,7 +17,7 @@ from panelspark.plans.q_market import EARN_SQL, SESSIONS_SQL, SPECS_SQL, earning
 from panelspark.plans.q_panel import LAB, SPLIT_SQL, TEST_START, TRAIN_DATES
 from panelspark.plans.registry import BARS, COMPANIES, D, PANEL, WINDOWS, out, query, r
 from panelspark.plans.testbars import bars, companies, panel
-from panelspark.session import table
+from panelspark.session import scratch_folder, table
 from panelspark.sources import scans as SC
 from panelspark.sources import sinks as W
 
@@ -27,13 +27,13 @@ from panelspark.sources import sinks as W
 @query("r001_panel_scan", f"WITH {BARS} SELECT {D}, {r('CASE WHEN v > 1 THEN c END', CLOSE, 4)} FROM bars")
 def _(spark, d):
     # Written with NaN where volume is 1; the scan gives NULL there.
-    path = W.scratch_folder(spark, "panel")
+    path = scratch_folder(spark, "panel")
     bars(spark, d).withColumn(CLOSE, F.when(F.col(VOLUME) > 1, F.col(CLOSE)).otherwise(float("nan"))).write.parquet(path)
     return out(SC.load_panel(spark, path), [CLOSE], digits=4)
 
 
 def _split_path(spark, d):
-    root = W.scratch_folder(spark, "splits")
+    root = scratch_folder(spark, "splits")
     W.write_splits(SP.assign_splits(bars(spark, d), TEST_START), root)
     return root
 
@@ -64,7 +64,7 @@ def _spells(spark, d):
 @query("r004_interval_csv_scan", f"""WITH {SPELL_SQL} SELECT DISTINCT ticker, CAST(greatest(start_date, DATE '1996-01-01') AS VARCHAR) AS start_date,
   CAST(least(end_date, DATE '1998-12-31') AS VARCHAR) AS end_date FROM iv WHERE end_date >= DATE '1996-01-01' AND start_date <= DATE '1998-12-31'""")
 def _(spark, d):
-    path = W.scratch_folder(spark, "membership")
+    path = scratch_folder(spark, "membership")
     _spells(spark, d).withColumnRenamed(TICKER, "symbol").write.option("header", True).csv(path)
     return out(SC.load_membership(spark, path, "1996-01-01", "1998-12-31"), keep=("ticker", "start_date", "end_date"))
 
@@ -81,7 +81,7 @@ def fundamentals(spark, d):
 
 @query("r005_event_csv_scan", f"WITH {FUND_SQL} SELECT {D}, {r('market_cap', 'market_cap', 2)}, {r('trailing_eps', 'trailing_eps', 2)} FROM fund")
 def _(spark, d):
-    path = W.scratch_folder(spark, "fundamentals")
+    path = scratch_folder(spark, "fundamentals")
     fundamentals(spark, d).withColumnRenamed(TICKER, "symbol").write.option("header", True).csv(path)
     return out(SC.load_fundamentals(spark, path, ("market_cap", "trailing_eps")), ["market_cap", "trailing_eps"], digits=2)
 
@@ -108,7 +108,7 @@ def quarterly(spark, d):
 
 @query("r006_quarterly_extract_scan", f"""WITH {QTR_SQL} SELECT ticker, CAST(datadate AS VARCHAR) AS datadate, CAST(rdq AS VARCHAR) AS rdq, {r('saleq', 'saleq', 2)}, {r('ceqq', 'ceqq', 2)} FROM fq""")
 def _(spark, d):
-    path = W.scratch_folder(spark, "quarterly")
+    path = scratch_folder(spark, "quarterly")
     quarterly(spark, d).write.option("header", True).csv(path)
     return out(SC.load_quarterly_extract(spark, path), ["saleq", "ceqq"], keep=("ticker", "datadate", "rdq"), digits=2)
 
@@ -118,7 +118,7 @@ def _(spark, d):
   {r('cr', 'commission_rate')}, 100000.0::DOUBLE AS monthly_commission_free_turnover_eur FROM s
   UNION ALL SELECT '__default_stock__', 'stock_cash', '1995-01-01', NULL, 5.0::DOUBLE, 0.002::DOUBLE, 100000.0::DOUBLE""")
 def _(spark, d):
-    path = W.scratch_folder(spark, "specs")
+    path = scratch_folder(spark, "specs")
     half = F.when(F.col("p_partkey") % 2 == 0, F.lit(0.001))
     specs(spark, d).withColumn("commission_rate", half).drop("p_partkey").write.json(path)
     default = spark.read.schema(SC.SPEC_SCHEMA).json(path).limit(1).withColumns(
@@ -135,7 +135,7 @@ def _(spark, d):
 @query("r008_earnings_csv_scan", f"""WITH {EARN_SQL} SELECT ticker, CAST(ad AS VARCHAR) AS announcement_date, sess AS announcement_session, year(ad) AS fiscal_year,
   quarter(ad) AS fiscal_quarter FROM earn WHERE sess <> 'unknown'""")
 def _(spark, d):
-    path = W.scratch_folder(spark, "earnings")
+    path = scratch_folder(spark, "earnings")
     e = earnings(spark, d).withColumns({"announcement_session": F.upper("announcement_session"),
                                         "fiscal_year": F.year("announcement_date"), "fiscal_quarter": F.quarter("announcement_date")})
     e.write.option("header", True).csv(path)
@@ -264,7 +264,7 @@ def _(spark, d):
 
 @query("r018_parquet_and_sample_sink", f"WITH {BARS} SELECT {D}, {r('c', CLOSE, 4)}, 1 AS sample_is_subset FROM bars")
 def _(spark, d):
-    path, sample = W.scratch_folder(spark, "merged"), W.scratch_folder(spark, "sample")
+    path, sample = scratch_folder(spark, "merged"), scratch_folder(spark, "sample")
     W.write_with_sample(bars(spark, d), path, sample)
     stored = spark.read.parquet(path)
     drawn = SC._csv(spark, sample).select(F.to_date(DATE).alias(DATE), TICKER)
@@ -274,7 +274,7 @@ def _(spark, d):
 
 @query("r019_grouped_sink", f"WITH {BARS} SELECT {D}, {r('c', CLOSE, 4)} FROM bars")
 def _(spark, d):
-    path = W.scratch_folder(spark, "grouped")
+    path = scratch_folder(spark, "grouped")
     W.write_grouped(bars(spark, d), path)
     return out(spark.read.parquet(path), [CLOSE], digits=4)
 
@@ -283,7 +283,7 @@ def _(spark, d):
 def _(spark, d):
     df = bars(spark, d).select(DATE, TICKER, (F.col(CLOSE) / F.col(OPEN) - 1).alias("quant_intraday_return"))
     rows, tickers = df.agg(F.count("*"), F.count_distinct(TICKER)).first()
-    path = W.scratch_folder(spark, "lagged")
+    path = scratch_folder(spark, "lagged")
     W.write_checked(M.add_feature_lags(df), path, rows, tickers)
     return out(spark.read.parquet(path), ["quant_intraday_return_lag_1d"], digits=4)
 
@@ -298,7 +298,7 @@ def _(spark, d):
 
 @query("r022_label_sink", f"WITH {LAB} SELECT {D}, {r('week', K.WEEK_NET)}, {r('intraday', K.INTRADAY_GROSS)} FROM lab")
 def _(spark, d):
-    path = W.scratch_folder(spark, "labels")
+    path = scratch_folder(spark, "labels")
     W.write_label_panel(L.create_targets(panel(spark, d)), path)
     df = spark.read.parquet(path)
     assert set(df.columns) == {*KEY, *K.TARGET_COLUMNS}
@@ -307,7 +307,7 @@ def _(spark, d):
 
 @query("r023_bundle_sink", f"WITH {BARS} SELECT ticker, count(*) AS rows, (SELECT count(DISTINCT date) FROM bars) AS dates FROM bars GROUP BY ticker")
 def _(spark, d):
-    df, root = bars(spark, d), W.scratch_folder(spark, "bundle")
+    df, root = bars(spark, d), scratch_folder(spark, "bundle")
     dates = C.distinct_dates(df).count()
     W.write_bundle({"tickers": df.groupBy(TICKER).agg(F.count("*").alias("rows"))}, root, {"dates": dates}, csv=("tickers",))
     scalars = spark.read.json(f"{root}/scalars").select(F.col("dates").cast("bigint").alias("dates"), F.lit(1).alias("_one"))
@@ -316,7 +316,7 @@ def _(spark, d):
 
 @query("r024_broker_snapshots", f"""WITH {SPECS_SQL} SELECT symbol, count(*) AS specs, {r('sum(long_swap_bps_daily)', 'long_swap')} FROM specs GROUP BY symbol""")
 def _(spark, d):
-    root = W.scratch_folder(spark, "snapshots")
+    root = scratch_folder(spark, "snapshots")
     s = specs(spark, d).withColumns({"margin_requirement": F.lit(1.0), "max_adv_participation": F.lit(0.05)})
     W.write_broker_snapshots(s, root)
     swaps = spark.read.schema("symbol string, long_swap_bps_daily double").json(f"{root}/swaps")
@@ -325,7 +325,7 @@ def _(spark, d):
 
 @query("r025_universe_and_listing_sink", f"WITH {BARS}, {COMPANIES} SELECT DISTINCT ticker, company_name FROM bars JOIN companies USING (ticker)")
 def _(spark, d):
-    root = W.scratch_folder(spark, "universe")
+    root = scratch_folder(spark, "universe")
     named = bars(spark, d).join(companies(spark, d).select(TICKER, "company_name"), TICKER)
     W.write_universe(named.select(TICKER).distinct(), I.company_listing(named), root)
     return SC._csv(spark, f"{root}/listing").join(spark.read.parquet(f"{root}/universe"), TICKER, "left_semi").select(TICKER, "company_name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,21 +29,26 @@ def fits_one_task(df: DataFrame) -> bool:
     return input_bytes(df) <= limit
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder (``spark.checkpoint.dir``).
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``; a private
+    folder only in local mode, where nothing else is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="panelspark-")
+    return f"{shared.rstrip('/')}/panelspark-{uuid4().hex}/{name}"
 
-    A private folder is made only when the session names none, as in local tests.
+
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a Parquet table in the shared folder and read it back.
+
+    It survives the loss of executors, later stages read only the columns they use, and the
+    optimizer sees its true size.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="panelspark-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def missing_to_null(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
