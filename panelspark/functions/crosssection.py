@@ -17,6 +17,7 @@ from panelspark.functions.scalar import clip, col, ratio
 from panelspark.session import fits_one_task
 
 BINS_PER_E_FOLD = 256
+WIDE = 64
 
 
 def join_back(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -86,7 +87,11 @@ def with_group_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], pct: b
         for name, source in ranks.items():
             rank = average_rank(F.col(source), by)
             out[name] = rank / F.count(source).over(Window.partitionBy(*by)) if pct else rank
-        return df.withColumns(out)
+        needed = list(dict.fromkeys([*row_key, *by, *ranks.values()]))
+        if len(df.columns) <= len(needed) + WIDE:
+            return df.withColumns(out)
+        # Sort narrow rows once per ranked column, then attach the ranks to the wide ones.
+        return df.join(df.select(*needed).withColumns(out).select(*row_key, *out), list(row_key), "left")
     # All ranked columns go through one long pipeline: a fixed number of shuffles for any width.
     keys = list(dict.fromkeys([*row_key, *by]))
     pairs = F.array(*[F.struct(F.lit(name).alias("name"), F.col(source).cast("double").alias("x"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelspark.contract import DATE, TICKER
@@ -80,21 +80,87 @@ def median(c, n, min_periods=None, end=0):
     return rolling(lambda x: F.percentile(x, F.lit(0.5)), c, n, min_periods, end)
 
 
-def skew(c, n):
-    """Bias-corrected skewness (Spark's own is the population one); 0 for a constant window."""
+TINY_VARIANCE = 1e-14
+
+
+def power_sums(c: Column | str, n: int, powers: int) -> list[Column]:
+    """Sums of x, x^2, ... over the frame.  A sliding frame is re-read for every row, and plain sums
+    are several times cheaper there than the built-in higher moments."""
     w = last_rows(n)
-    k = F.count(col(c)).over(w).cast("double")
-    factor = F.sqrt(k * (k - 1)) / F.nullif(k - 2, F.lit(0.0))
-    return F.when((k >= n) & (k >= 3), F.coalesce(F.skewness(col(c)).over(w), F.lit(0.0)) * factor)
+    x = col(c)
+    out, power = [], x
+    for _ in range(powers):
+        out.append(F.sum(power).over(w))
+        power = power * x
+    return out
+
+
+def skew_from_sums(n: Column, s1: Column, s2: Column, s3: Column) -> Column:
+    """Bias-corrected skewness of n values; 0 when they do not vary."""
+    mean = s1 / n
+    m2 = s2 / n - mean * mean
+    m3 = s3 / n - 3 * mean * s2 / n + 2 * mean * mean * mean
+    g1 = F.when(m2 > TINY_VARIANCE, F.try_divide(m3, F.pow(m2, 1.5))).otherwise(0.0)
+    return g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
+
+
+def kurt_from_sums(n: Column, s1: Column, s2: Column, s3: Column, s4: Column) -> Column:
+    """Bias-corrected excess kurtosis of n values; -3 when they do not vary."""
+    mean = s1 / n
+    m2 = s2 / n - mean * mean
+    m4 = s4 / n - 4 * mean * s3 / n + 6 * mean * mean * s2 / n - 3 * mean * mean * mean * mean
+    g2 = F.try_divide(m4, m2 * m2) - 3
+    corrected = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * g2 + 6)
+    return F.when(m2 > TINY_VARIANCE, corrected).otherwise(-3.0)
+
+
+def corr_from_sums(n: Column, sa: Column, sb: Column, sab: Column, saa: Column, sbb: Column) -> Column:
+    """Correlation of n complete pairs; NULL when a side does not vary."""
+    va, vb = saa - sa * sa / n, sbb - sb * sb / n
+    moving = (va > TINY_VARIANCE * n) & (vb > TINY_VARIANCE * n)
+    return F.when(moving, F.try_divide(sab - sa * sb / n, F.sqrt(va) * F.sqrt(vb)))
+
+
+def std_from_sums(n: int, s1: Column, s2: Column, same: Column) -> Column:
+    """Sample deviation of a full window of n values; exactly 0 when all are equal."""
+    variance = F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1)
+    return F.when(same >= n, F.lit(0.0)).otherwise(F.sqrt(variance))
+
+
+def with_frame_sums(df: DataFrame, columns: list[str], sizes: tuple[int, ...], row: str, prefix: str,
+                    same: tuple[str, ...] = ()) -> DataFrame:
+    """Add, for many columns and frame sizes at once:
+
+    * ``{prefix}{c}_{n}``   sum over the last n rows,
+    * ``{prefix}{c}_known`` length of the run of non-missing values that ends here,
+    * ``{prefix}{c}_same``  length of the run of equal values that ends here (for ``same``).
+
+    The run lengths replace one count per column and frame: a window is complete when its run is at
+    least n.  They use growing frames, which cost one update per row whatever n is.  ``row`` is the
+    row number inside the ticker.
+    """
+    at = F.col(row)
+    growing = ticker_window().rowsBetween(Window.unboundedPreceding, 0)
+    changed = {f"{prefix}{c}_new": F.when(~F.col(c).eqNullSafe(lag(c)), at) for c in same}
+    if changed:
+        df = df.withColumns(changed)
+    out = {f"{prefix}{c}_known": at - F.coalesce(F.max(F.when(F.col(c).isNull(), at)).over(growing), F.lit(0)) for c in columns}
+    out |= {f"{prefix}{c}_same": at - F.coalesce(F.max(f"{prefix}{c}_new").over(growing), F.lit(1)) + 1 for c in same}
+    out |= {f"{prefix}{c}_{n}": F.sum(c).over(last_rows(n)) for c in columns for n in sizes}
+    return df.withColumns(out).drop(*changed)
+
+
+def skew(c, n):
+    """Bias-corrected skewness.  Built on power sums: centre a series first when its mean is far
+    from 0 compared with its spread (returns are fine as they are)."""
+    k = F.count(col(c)).over(last_rows(n)).cast("double")
+    return F.when((k >= n) & (k >= 3), skew_from_sums(k, *power_sums(c, n, 3)))
 
 
 def kurt(c, n):
-    """Bias-corrected excess kurtosis; -3 for a constant window."""
-    w = last_rows(n)
-    k = F.count(col(c)).over(w).cast("double")
-    g2 = F.kurtosis(col(c)).over(w)
-    corrected = (k - 1) / F.nullif((k - 2) * (k - 3), F.lit(0.0)) * ((k + 1) * g2 + 6)
-    return F.when((k >= n) & (k >= 4), F.coalesce(corrected, F.lit(-3.0)))
+    """Bias-corrected excess kurtosis; see ``skew`` on centring."""
+    k = F.count(col(c)).over(last_rows(n)).cast("double")
+    return F.when((k >= n) & (k >= 4), kurt_from_sums(k, *power_sums(c, n, 4)))
 
 
 def _paired(a, b):

@@ -73,37 +73,60 @@ def momentum(df: DataFrame) -> DataFrame:
     return df.withColumns({f"{QUANT}momentum_{n}d": R.diff(LOG_CLOSE, n) for n in RETURN_WINDOWS})
 
 
+def _drop_new(df: DataFrame, before: DataFrame, keep: dict) -> DataFrame:
+    """Drop helper columns added since ``before``."""
+    return df.drop(*[c for c in df.columns if c not in before.columns and c not in keep])
+
+
 def return_moments(df: DataFrame) -> DataFrame:
-    lagged = f"{INTERNAL}return_lag1"
-    df = df.withColumn(lagged, R.lag(RETURN))
+    """Volatility, skewness, kurtosis and lag-1 autocorrelation of returns.
+
+    Powers become columns first, so every frame only adds numbers.  In a window whose pairs are
+    complete, the sums of the lagged return are the sums of one row earlier.
+    """
+    t, before = f"{INTERNAL}rm_", df
+    x = F.col(RETURN)
+    df = df.withColumn(f"{t}x", x).withColumns({f"{t}lag": R.lag(RETURN), f"{t}2": x * x, f"{t}3": x * x * x, f"{t}4": x * x * x * x})
+    df = df.withColumn(f"{t}ab", x * F.col(f"{t}lag"))
+    names = [f"{t}{k}" for k in ("x", "2", "3", "4", "ab")]
+    df = R.with_frame_sums(df, names, VOLATILITY_WINDOWS, ROW, t, same=(f"{t}x",))
+    earlier = {f"{t}prev{k}_{n}": R.lag(f"{t}{t}{k}_{n}") for n in VOLATILITY_WINDOWS for k in ("x", "2")}
+    df = df.withColumns(earlier)
+    known, pairs, same = F.col(f"{t}{t}x_known"), F.col(f"{t}{t}ab_known"), F.col(f"{t}{t}x_same")
     out = {}
     for n in VOLATILITY_WINDOWS:
-        out[f"{QUANT}realized_vol_{n}d"] = R.std(RETURN, n) * ANNUAL
-        out[f"{QUANT}return_skew_{n}d"] = R.skew(RETURN, n)
-        out[f"{QUANT}return_kurt_{n}d"] = R.kurt(RETURN, n)
-        out[f"{QUANT}return_autocorr_lag1_{n}d"] = R.corr(RETURN, lagged, n)
-    return df.withColumns(out).drop(lagged)
+        s1, s2, s3, s4, sab = (F.col(f"{t}{t}{k}_{n}") for k in ("x", "2", "3", "4", "ab"))
+        size, full = F.lit(float(n)), known >= n
+        out |= {f"{QUANT}realized_vol_{n}d": F.when(full, R.std_from_sums(n, s1, s2, same) * ANNUAL),
+                f"{QUANT}return_skew_{n}d": F.when(full, R.skew_from_sums(size, s1, s2, s3)),
+                f"{QUANT}return_kurt_{n}d": F.when(full, R.kurt_from_sums(size, s1, s2, s3, s4)),
+                f"{QUANT}return_autocorr_lag1_{n}d": F.when(pairs >= n, R.corr_from_sums(
+                    size, s1, F.col(f"{t}prevx_{n}"), sab, s2, F.col(f"{t}prev2_{n}")))}
+    return _drop_new(df.withColumns(out), before, out)
 
 
 def trend(df: DataFrame) -> DataFrame:
     """OLS on the row index (annualised slope, R2), efficiency ratio, share of positive days."""
-    step, positive = f"{INTERNAL}abs_step", f"{INTERNAL}positive"
-    df = df.withColumns({step: F.abs(R.diff(CLOSE)), positive: as_double(F.col(RETURN) > 0)})
-    out = {}
+    t = f"{INTERNAL}tr_"
     y, x = F.col(LOG_CLOSE), F.col(ROW).cast("double")
+    df = df.withColumns({f"{t}step": F.abs(R.diff(CLOSE)), f"{t}positive": as_double(F.col(RETURN) > 0)})
+    shared = {}
     for n in TREND_WINDOWS:
         w = R.last_rows(n)
-        full = F.count(y).over(w) >= n
-        # The x offset does not matter to the fit; only the distance between rows does.
-        slope = F.when(full, F.expm1(F.regr_slope(y, x).over(w) * DAYS_PER_YEAR))
-        # regr_r2 of a constant series is 1; here it is missing.
-        r2 = F.when(full & (F.max(y).over(w) != F.min(y).over(w)),
-                    F.greatest(F.lit(0.0), F.regr_r2(y, x).over(w)))
-        out |= {f"{QUANT}trend_slope_{n}d": slope, f"{QUANT}trend_r2_{n}d": r2,
-                f"{QUANT}trend_strength_{n}d": slope * r2,
-                f"{QUANT}efficiency_ratio_{n}d": ratio(F.abs(R.diff(CLOSE, n)), R.total(step, n)),
-                f"{QUANT}positive_day_ratio_{n}d": R.mean(positive, n)}
-    return df.withColumns(out).drop(step, positive)
+        # A full window has consecutive row numbers, whose variance is (n^2 - 1) / 12 wherever it lies.
+        shared |= {f"{t}n_{n}": F.count(y).over(w), f"{t}cov_{n}": F.covar_pop(y, x).over(w), f"{t}var_{n}": F.var_pop(y).over(w),
+                   f"{t}path_{n}": R.total(f"{t}step", n), f"{t}share_{n}": R.mean(f"{t}positive", n), f"{t}move_{n}": F.abs(R.diff(CLOSE, n))}
+    df = df.withColumns(shared)
+    out = {}
+    for n in TREND_WINDOWS:
+        spread = (n * n - 1) / 12.0
+        full = F.col(f"{t}n_{n}") >= n
+        covariance, variance = F.col(f"{t}cov_{n}"), F.col(f"{t}var_{n}")
+        slope = F.when(full, F.expm1(covariance / spread * DAYS_PER_YEAR))
+        r2 = F.when(full & (variance > 0), F.greatest(F.lit(0.0), covariance * covariance / (variance * spread)))
+        out |= {f"{QUANT}trend_slope_{n}d": slope, f"{QUANT}trend_r2_{n}d": r2, f"{QUANT}trend_strength_{n}d": slope * r2,
+                f"{QUANT}efficiency_ratio_{n}d": ratio(f"{t}move_{n}", f"{t}path_{n}"), f"{QUANT}positive_day_ratio_{n}d": F.col(f"{t}share_{n}")}
+    return df.withColumns(out).drop(f"{t}step", f"{t}positive", *shared)
 
 
 def one_sided_volatility(df: DataFrame) -> DataFrame:
@@ -125,7 +148,7 @@ def drawdown(df: DataFrame) -> DataFrame:
 
 def range_volatility(df: DataFrame) -> DataFrame:
     """Parkinson, Garman-Klass, Rogers-Satchell and Yang-Zhang, annualised, variance >= 0."""
-    t = f"{INTERNAL}rv_"
+    t, before = f"{INTERNAL}rv_", df
 
     def log_of(a, b):
         return F.log(ratio(a, b))
@@ -139,36 +162,53 @@ def range_volatility(df: DataFrame) -> DataFrame:
         f"{t}gk": 0.5 * hl2 - (2 * ln(2) - 1) * co2,
         f"{t}rs": F.col(f"{t}hc") * F.col(f"{t}ho") + F.col(f"{t}lc") * F.col(f"{t}lo")})
 
+    columns = [f"{t}{k}" for k in ("pk", "gk", "rs", "on", "co")]
+    df = df.withColumns({f"{t}on2": F.pow(F.col(f"{t}on"), 2), f"{t}co2": co2})
+    df = R.with_frame_sums(df, [*columns, f"{t}on2", f"{t}co2"], MARKET_WINDOWS, ROW, t, same=(f"{t}on", f"{t}co"))
+
     def annual(variance):
         return F.sqrt(clip(variance, low=0) * DAYS_PER_YEAR)
 
     out = {}
     for n in MARKET_WINDOWS:
+        def mean(k):
+            return F.when(F.col(f"{t}{t}{k}_known") >= n, F.col(f"{t}{t}{k}_{n}") / n)
+
+        def variance(k):
+            std = R.std_from_sums(n, F.col(f"{t}{t}{k}_{n}"), F.col(f"{t}{t}{k}2_{n}"), F.col(f"{t}{t}{k}_same"))
+            return F.when(F.col(f"{t}{t}{k}_known") >= n, std * std)
         k = 0.34 / (1.34 + (n + 1) / (n - 1))
-        rs = R.mean(f"{t}rs", n)
-        out |= {f"{QUANT}parkinson_vol_{n}d": annual(R.mean(f"{t}pk", n)),
-                f"{QUANT}garman_klass_vol_{n}d": annual(R.mean(f"{t}gk", n)),
-                f"{QUANT}rogers_satchell_vol_{n}d": annual(rs),
-                f"{QUANT}yang_zhang_vol_{n}d": annual(
-                    R.var(f"{t}on", n) + k * R.var(f"{t}co", n) + (1 - k) * rs)}
-    return df.withColumns(out).drop(*[f"{t}{x}" for x in ("hl", "co", "on", "ho", "lo", "hc", "lc", "pk", "gk", "rs")])
+        out |= {f"{QUANT}parkinson_vol_{n}d": annual(mean("pk")), f"{QUANT}garman_klass_vol_{n}d": annual(mean("gk")),
+                f"{QUANT}rogers_satchell_vol_{n}d": annual(mean("rs")),
+                f"{QUANT}yang_zhang_vol_{n}d": annual(variance("on") + k * variance("co") + (1 - k) * mean("rs"))}
+    return _drop_new(df.withColumns(out), before, out)
 
 
 def liquidity(df: DataFrame) -> DataFrame:
-    amihud = f"{INTERNAL}amihud"
-    df = df.withColumns({amihud: ratio(F.abs(F.col(RETURN)), DOLLARS), f"{QUANT}log_dollar_volume": F.log1p(DOLLARS)})
+    """Average volume and dollar volume, their ratios and z-scores, Amihud and signed volume.
+
+    Each rolling mean and deviation is computed once and used by all measures that need it.
+    """
+    t, before = f"{INTERNAL}lq_", df
+    v, d = F.col(VOLUME).cast("double"), F.col(DOLLARS)
+    df = df.withColumns({f"{t}v": v, f"{t}d": d, f"{t}v2": v * v, f"{t}d2": d * d, f"{t}a": ratio(F.abs(F.col(RETURN)), DOLLARS),
+                         f"{t}s": F.col(SIGNED_DOLLARS), f"{QUANT}log_dollar_volume": F.log1p(DOLLARS)})
+    df = R.with_frame_sums(df, [f"{t}{k}" for k in ("v", "d", "v2", "d2", "a", "s")], LIQUIDITY_WINDOWS, ROW, t, same=(f"{t}v", f"{t}d"))
     out = {}
     for n in LIQUIDITY_WINDOWS:
-        volume, dollars = R.mean(VOLUME, n), R.mean(DOLLARS, n)
-        out |= {f"{QUANT}adv_{n}d": dollars,
-                f"{QUANT}volume_ratio_{n}d": ratio(VOLUME, volume) - 1.0,
-                f"{QUANT}dollar_volume_ratio_{n}d": ratio(DOLLARS, dollars) - 1.0,
-                f"{QUANT}volume_zscore_{n}d": R.zscore(VOLUME, n),
-                f"{QUANT}dollar_volume_zscore_{n}d": R.zscore(DOLLARS, n),
-                f"{QUANT}volume_cv_{n}d": ratio(R.std(VOLUME, n), volume),
-                f"{QUANT}amihud_illiquidity_{n}d": R.mean(amihud, n),
-                f"{QUANT}signed_dollar_volume_ratio_{n}d": ratio(R.mean(SIGNED_DOLLARS, n), dollars)}
-    return df.withColumns(out).drop(amihud)
+        def mean(k):
+            return F.when(F.col(f"{t}{t}{k}_known") >= n, F.col(f"{t}{t}{k}_{n}") / n)
+
+        def std(k):
+            value = R.std_from_sums(n, F.col(f"{t}{t}{k}_{n}"), F.col(f"{t}{t}{k}2_{n}"), F.col(f"{t}{t}{k}_same"))
+            return F.when(F.col(f"{t}{t}{k}_known") >= n, value)
+        volume, dollars = mean("v"), mean("d")
+        out |= {f"{QUANT}adv_{n}d": dollars, f"{QUANT}volume_ratio_{n}d": ratio(VOLUME, volume) - 1.0,
+                f"{QUANT}dollar_volume_ratio_{n}d": ratio(DOLLARS, dollars) - 1.0, f"{QUANT}volume_zscore_{n}d": ratio(v - volume, std("v")),
+                f"{QUANT}dollar_volume_zscore_{n}d": ratio(d - dollars, std("d")), f"{QUANT}volume_cv_{n}d": ratio(std("v"), volume),
+                f"{QUANT}amihud_illiquidity_{n}d": mean("a"), f"{QUANT}signed_dollar_volume_ratio_{n}d": ratio(mean("s"), dollars)}
+    out_names = {*out, f"{QUANT}log_dollar_volume"}
+    return _drop_new(df.withColumns(out), before, dict.fromkeys(out_names))
 
 
 def add_quant_features(df: DataFrame) -> DataFrame:
