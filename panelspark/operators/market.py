@@ -50,11 +50,23 @@ def universe_relative(df: DataFrame) -> DataFrame:
 
 
 def market_beta(df: DataFrame) -> DataFrame:
+    """Rolling beta and correlation of a return to the market without itself, from frame sums."""
+    t, before = f"{INTERNAL}mb_", df
+    if f"{t}row" not in df.columns:
+        df = df.withColumn(f"{t}row", F.row_number().over(R.ticker_window()))
+    x, m = F.col(RETURN), F.col(EX_SELF)
+    df = df.withColumns({f"{t}x": x, f"{t}m": m, f"{t}xm": x * m, f"{t}xx": x * x, f"{t}mm": m * m})
+    df = R.with_frame_sums(df, [f"{t}{k}" for k in ("x", "m", "xm", "xx", "mm")], MARKET_WINDOWS, f"{t}row", t, same=(f"{t}m",))
+    pairs, known, same = F.col(f"{t}{t}xm_known"), F.col(f"{t}{t}m_known"), F.col(f"{t}{t}m_same")
     out = {}
     for n in MARKET_WINDOWS:
-        out[f"{QUANT}beta_{n}d"] = ratio(R.cov(RETURN, EX_SELF, n), R.var(EX_SELF, n))
-        out[f"{QUANT}correlation_to_universe_{n}d"] = R.corr(RETURN, EX_SELF, n)
-    return df.withColumns(out)
+        sx, sm, sxm, sxx, smm = (F.col(f"{t}{t}{k}_{n}") for k in ("x", "m", "xm", "xx", "mm"))
+        deviation = R.std_from_sums(n, sm, smm, same)
+        beta = ratio((sxm - sx * sm / n) / (n - 1), deviation * deviation)
+        out[f"{QUANT}beta_{n}d"] = F.when((pairs >= n) & (known >= n), beta)
+        out[f"{QUANT}correlation_to_universe_{n}d"] = F.when(pairs >= n, R.corr_from_sums(F.lit(float(n)), sx, sm, sxm, sxx, smm))
+    kept = df.withColumns(out)
+    return kept.drop(*[c for c in kept.columns if c not in before.columns and c not in out])
 
 
 def idiosyncratic_volatility(df: DataFrame) -> DataFrame:
