@@ -182,13 +182,18 @@ def with_top_bottom(df: DataFrame, by: list[str], value: str, fraction: float, t
             .drop("_top_left", "_low_left", "_n", "_pos"))
 
 
-def with_text_position(df: DataFrame, by: list[str], text: str, out: str, prefix: int = 2) -> DataFrame:
+def with_text_position(df: DataFrame, by: list[str], text: str, out: str, prefix: int = 3) -> DataFrame:
     """1-based position of each row in ``text`` order inside its group.
 
-    The group is split by an order-keeping prefix of the text, so rows are numbered inside
-    (group, prefix) and shifted by the count of all smaller prefixes.
+    The group is split by the first ``prefix`` characters that differ inside it (what all its texts
+    share is skipped), so rows are numbered inside (group, prefix) and shifted by the count of all
+    smaller prefixes.
     """
-    marked = df.withColumn("_prefix", F.substring(text, 1, prefix))
+    shared = F.size(F.filter(F.sequence(F.lit(1), F.lit(64)),
+                             lambda i: F.substring(F.col("_low"), F.lit(1), i) == F.substring(F.col("_high"), F.lit(1), i)))
+    bounds = df.groupBy(*by).agg(F.min(text).alias("_low"), F.max(text).alias("_high"))
+    marked = join_back(df, bounds.select(*by, F.when(F.col("_low") == F.col("_high"), 0).otherwise(shared).alias("_skip")), by)
+    marked = marked.withColumn("_prefix", F.substring(F.col(text), F.lit(1), F.col("_skip") + prefix)).drop("_skip")
     counts = marked.groupBy(*by, "_prefix").agg(F.count("*").alias("_count"))
     earlier = Window.partitionBy(*by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_prefix", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_shift"))

@@ -151,14 +151,36 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         F.coalesce(F.bool_and(F.col("value").isin("0", "1", "0.0", "1.0", "false", "true")), F.lit(False)).alias("binary"))
 
 
+def uninformative_columns(df: DataFrame, columns: list[str], threshold: float = QUASI_CONSTANT_SHARE) -> list[str]:
+    """Constant columns and those one value (or missing) fills to ``threshold`` or more.
+
+    Two aggregations and no shuffle of values: a value that fills more than half of the known rows is
+    their median under any order, so the median of the value's hash names the only candidate, whose
+    rows the second pass counts exactly.  0/1 indicators only go when constant.
+    """
+    def digest(c: str) -> Column:
+        # 52 bits, which the approximate median keeps exactly.
+        return F.shiftrightunsigned(F.xxhash64(c), 12)
+    textual = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    binary = {c: F.bool_and(F.col(c).cast("double").isin(0.0, 1.0)) if c not in textual else F.lit(False) for c in columns}
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[
+        F.struct(F.count(c).alias("known"), F.max(F.when(F.col(c).isNotNull(), digest(c))).alias("high"),
+                 F.min(F.when(F.col(c).isNotNull(), digest(c))).alias("least"),
+                 F.percentile_approx(F.when(F.col(c).isNotNull(), digest(c)), 0.5, 1000).alias("candidate"), binary[c].alias("binary")).alias(f"c{i}")
+        for i, c in enumerate(columns)]).first()
+    n = first["n"]
+    stats = {c: first[f"c{i}"] for i, c in enumerate(columns)}
+    constant = [c for c, x in stats.items() if x["known"] == 0 or (x["known"] == n and x["least"] == x["high"])]
+    rest = [c for c in columns if c not in constant and not stats[c]["binary"]]
+    if not rest:
+        return constant
+    second = df.agg(*[F.count_if(F.col(c).isNotNull() & (digest(c) == F.lit(stats[c]["candidate"]))).alias(f"c{i}") for i, c in enumerate(rest)]).first()
+    return constant + [c for i, c in enumerate(rest) if max(second[f"c{i}"], n - stats[c]["known"]) >= threshold * n]
+
+
 def drop_uninformative(df: DataFrame, threshold: float = QUASI_CONSTANT_SHARE) -> DataFrame:
     """Drop constant columns and those one value dominates; 0/1 indicators stay unless constant."""
-    names = [c for c in df.columns if c not in KEY]
-    textual = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    profile = column_profile(df, names).collect()
-    bad = [p["column"] for p in profile
-           if p["constant"] or (p["dominant_share"] >= threshold and not (p["binary"] and p["column"] not in textual))]
-    return df.drop(*bad)
+    return df.drop(*uninformative_columns(df, [c for c in df.columns if c not in KEY], threshold))
 
 
 DIAGNOSTICS = ("data_error_flag", "is_outlier_flag", "outlier_severity", "outlier_reason")

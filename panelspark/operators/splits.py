@@ -6,7 +6,7 @@ windows and broadcasts are bounded by the calendar; the panel itself is only eve
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, sqrt
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -204,11 +204,18 @@ def temporal_date_sample(train_dates: DataFrame, fraction: float, minimum: int)
 def seeded_row_sample(df: DataFrame, rows: int, seed: int, keys: tuple[str, ...] = KEY) -> DataFrame:
     """Uniform sample without replacement: the ``rows`` smallest keyed hashes.
 
-    A count below the threshold hash would do at any size; ``limit`` after an order keeps only
-    ``rows`` rows per task.
+    A threshold on the hash, ten standard deviations above the wanted count, leaves only about
+    ``rows`` candidates on the whole cluster before they are ordered.
     """
+    total = df.count()
+    if total <= rows:
+        return df
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    return df.withColumn("_draw", draw).orderBy("_draw").limit(rows).drop("_draw")
+    marked = df.withColumn("_draw", draw)
+    share = (rows + 10 * sqrt(rows) + 100) / total
+    if share < 1.0:
+        marked = marked.where(F.col("_draw") < format(int(share * 16**12), "012x"))
+    return marked.orderBy("_draw").limit(rows).drop("_draw")
 
 
 def temporal_row_sample(df: DataFrame, rows: int, minimum_dates: int = 1) -> DataFrame:

@@ -425,10 +425,9 @@ sb AS (SELECT date, avg(CASE WHEN sw >= 0.25 - 1e-6 THEN 1.0::DOUBLE ELSE 0 END)
 def _(spark, d):
     weights = _pool(spark, d).select(*KEY, "sector", "expected_return", "cost_rate", (F.lit(1.0) / (F.col("pool_rank") + 4)).alias("weight"))
     co = companies(spark, d).select(TICKER, (F.col("account_balance") / 10000).alias("q"))
-    # The covariance matrix of the (at most a few thousand) instruments, as rows of one array each.
-    names = co.groupBy(F.lit(1).alias("_one")).agg(F.collect_list(F.struct(TICKER, "q")).alias("_all"))
-    pairs = co.withColumn("_one", F.lit(1)).join(F.broadcast(names), "_one").select(F.col(TICKER).alias("left"), "q", F.inline("_all"))
-    pairs = pairs.toDF("left", "q", "right", "q2")
+    # Only pairs held together on some date matter; a date holds at most the pool of five.
+    held = weights.select(DATE, F.col(TICKER).alias("left")).join(weights.select(DATE, F.col(TICKER).alias("right")), DATE).select("left", "right").distinct()
+    pairs = held.join(co.select(F.col(TICKER).alias("left"), "q"), "left").join(co.select(F.col(TICKER).alias("right"), F.col("q").alias("q2")), "right")
     cov = pairs.select("left", "right", (F.col("q") * F.col("q2") / 100 + F.when(F.col("left") == F.col("right"), 0.04).otherwise(0.0)).alias("value"))
     return out(LG.allocation_diagnostics(weights, cov, 0.25), {"expected_portfolio_return": 8, "expected_portfolio_volatility": 8, "expected_net_alpha": 8, "sector_binding_share": 6, "cash_weight": 8}, keep=("date",))
 

@@ -203,3 +203,9 @@ def test_spaced_positions_match_linspace(spark):
     for n, m in ((10, 4), (7, 7), (101, 13), (5, 1), (2499, 317)):
         got = spark.range(1).select(SP.spaced_positions(F.lit(n).cast("bigint"), F.lit(m).cast("bigint")).alias("p")).first()["p"]
         assert got == np.unique(np.linspace(0, n - 1, num=m, dtype=np.int64)).tolist()
+
+
+def test_uninformative_columns(spark):
+    data = [(i, 5, "same" if i else "other", 0 if i else 1, None if i else 2.0, None, i % 3, "only") for i in range(300)]
+    df = spark.createDataFrame(data, "row int, fixed int, dominated string, indicator int, holes double, empty double, spread int, text string")
+    assert set(CL.uninformative_columns(df, df.columns)) == {"fixed", "dominated", "holes", "empty", "text"}
