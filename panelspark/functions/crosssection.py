@@ -3,8 +3,9 @@
 Group means and deviations are partial aggregates joined back.  Ranks, medians and
 cumulative sums need an order inside the group; ``cumulative_by_value`` splits every group
 by a monotone bin of the value, so no task ever holds a whole group, and copies of one
-value are aggregated before they are ordered.  When all input together is below the size
-limit, a plain window is cheaper and used instead; both give the same result.
+value are aggregated before they are ordered.  The split plans store the narrow frames they
+read more than once.  When all input together is below the size limit, a plain window is
+cheaper and used instead; both give the same result.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from panelspark.contract import DATE, KEY
 from panelspark.functions.scalar import clip, col, ratio
-from panelspark.session import fits_one_task
+from panelspark.session import cut_lineage, fits_one_task
 
 BINS_PER_E_FOLD = 256
 WIDE = 64
@@ -52,7 +53,7 @@ def cumulative_by_value(df: DataFrame, by: list[str], value: str, measures: dict
             {f"{m}_before": F.coalesce(F.sum(m).over(w), F.lit(0)) for m in measures}
             | {f"{m}_total": F.sum(m).over(Window.partitionBy(*by)) for m in measures})
     bin_order = F.col("_bin").desc() if descending else F.col("_bin").asc()
-    values = values.withColumn("_bin", monotone_bin(F.col(value)))
+    values = cut_lineage(values.withColumn("_bin", monotone_bin(F.col(value))), "values")
     # Bins per group are bounded by the double range, so this window stays small.
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     earlier = group.orderBy(bin_order).rowsBetween(Window.unboundedPreceding, -1)
@@ -99,6 +100,7 @@ def with_group_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], pct: b
     long = (df.select(*keys, F.explode(pairs).alias("_p"))
             .select(*keys, F.col("_p.name").alias("_name"), F.col("_p.x").alias("_x"))
             .where(F.col("_x").isNotNull()))
+    long = cut_lineage(long, "long")
     cumulative = cumulative_by_value(long, [*by, "_name"], "_x", {"_n": F.count(F.lit(1))}, split=True)
     rank = F.col("_n_before") + (F.col("_n") + 1) / 2.0
     ranked = cumulative.select(*by, "_name", "_x",
@@ -153,32 +155,37 @@ def with_zscores(df: DataFrame, by: list[str], zscores: dict[str, str], limit: f
 
 def with_top_bottom(df: DataFrame, by: list[str], value: str, fraction: float, tie: str = "ticker",
                     split: bool | None = None) -> DataFrame:
-    """Add ``is_top`` / ``is_bottom``: the max(1, ceil(n*fraction)) rows with the largest /
-    smallest value of the group.  Equal values are taken in ``tie`` order on both sides."""
+    """Add ``is_top`` / ``is_bottom``: the max(1, ceil(rows*fraction)) rows with the largest /
+    smallest value of the group.  Equal values are taken in ``tie`` order on both sides, missing
+    ones last."""
     if split is None:
         split = not fits_one_task(df)
-    take = F.greatest(F.lit(1), F.ceil(F.col("_n_total") * F.lit(float(fraction))))
+    take = F.greatest(F.lit(1), F.ceil(F.col("_rows") * F.lit(float(fraction))))
     if not split:
         w = Window.partitionBy(*by)
-        return (df.withColumn("_n_total", F.count(value).over(w))
+        return (df.withColumn("_rows", F.count("*").over(w))
                 .withColumns({"is_top": F.row_number().over(w.orderBy(F.col(value).desc_nulls_last(), tie)) <= take,
                               "is_bottom": F.row_number().over(w.orderBy(F.col(value).asc_nulls_last(), tie)) <= take})
-                .drop("_n_total"))
+                .drop("_rows"))
     # Per value: how many rows rank before it decides in / out; only the boundary value needs
-    # its rows ordered, and those are ordered inside (group, value), not the whole group.
+    # its rows ordered, and those are split again by their tie text.
+    df = cut_lineage(df, "ranked")
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_rows"), F.count(value).alias("_known"))
     c = cumulative_by_value(df, by, value, {"_n": F.count(F.lit(1))}, split=True)
     above = F.col("_n_total") - F.col("_n_before") - F.col("_n")
-    c = c.select(*by, value, (take - above).alias("_top_left"), (take - F.col("_n_before")).alias("_low_left"),
-                 F.col("_n"))
-    joined = df.join(c, [*by, value], "left")
+    c = join_back(c, sizes, by).select(*by, value, (take - above).alias("_top_left"), (take - F.col("_n_before")).alias("_low_left"), F.col("_n"))
+    known = df.where(F.col(value).isNotNull()).join(c, [*by, value])
+    missing = join_back(df.where(F.col(value).isNull()), sizes.select(
+        *by, (take - F.col("_known")).alias("_top_left"), (take - F.col("_known")).alias("_low_left"), (F.col("_rows") - F.col("_known")).alias("_n")), by)
+    joined = known.unionByName(missing)
     tied_out = (F.col("_top_left") < F.col("_n")) & (F.col("_top_left") > 0)
     tied_low = (F.col("_low_left") < F.col("_n")) & (F.col("_low_left") > 0)
-    edge = F.coalesce(tied_out | tied_low, F.lit(False))
-    edges = with_text_position(joined.where(edge), [*by, value], tie, "_pos")
+    edge = tied_out | tied_low
+    edges = joined.where(edge).withColumn("_tied", F.coalesce(F.col(value).cast("string"), F.lit("missing")))
+    edges = with_text_position(edges, [*by, "_tied"], tie, "_pos").drop("_tied")
     rest = joined.where(~edge).withColumn("_pos", F.lit(1).cast("bigint"))
     return (edges.unionByName(rest)
-            .withColumns({"is_top": F.coalesce(F.col("_pos") <= F.col("_top_left"), F.lit(False)),
-                          "is_bottom": F.coalesce(F.col("_pos") <= F.col("_low_left"), F.lit(False))})
+            .withColumns({"is_top": F.col("_pos") <= F.col("_top_left"), "is_bottom": F.col("_pos") <= F.col("_low_left")})
             .drop("_top_left", "_low_left", "_n", "_pos"))
 
 

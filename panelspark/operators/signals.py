@@ -11,6 +11,7 @@ from panelspark.contract import DATE, KEY, PREDICTION, TICKER, WEEK_NET
 from panelspark.functions.crosssection import (group_quantiles, join_back, with_group_ranks, with_group_stats,
                                                with_top_bottom, with_zscores)
 from panelspark.functions.scalar import clip, piecewise_linear
+from panelspark.session import cut_lineage, fits_one_task
 
 PRIMARY = "primary_prediction"
 META_PROBABILITY, META_CONFIDENCE = "meta_probability", "meta_confidence"
@@ -133,7 +134,9 @@ def daily_signal_diagnostics(df: DataFrame, prediction: str, target: str, realiz
     """Per group of at least two rows: rank IC, linear IC (missing = 0), mean realised return of the
     top minus the bottom names, rows."""
     names = list(dict.fromkeys([*row_key, *by, prediction, target, realized]))
-    ranked = with_side_ranks(df.select(*names), prediction, target, list(by), split, row_key)
+    split = not fits_one_task(df) if split is None else split
+    narrow = cut_lineage(df.select(*names), "signals") if split else df.select(*names)
+    ranked = with_side_ranks(narrow, prediction, target, list(by), split, row_key)
     marked = with_top_bottom(ranked, list(by), prediction, top_fraction, TICKER, split)
     top = F.avg(F.when(F.col("is_top"), F.col(realized)))
     bottom = F.avg(F.when(F.col("is_bottom"), F.col(realized)))
@@ -234,7 +237,9 @@ def breadth_and_effective_n(stacked: DataFrame) -> DataFrame:
 
 
 def ablation_screen(df: DataFrame, target: str = WEEK_NET, regimes: tuple[dict, ...] = REGIMES, split: bool | None = None) -> DataFrame:
+    split = not fits_one_task(df) if split is None else split
     stacked = stack_regimes(df, target, regimes)
+    stacked = cut_lineage(stacked, "regimes") if split else stacked
     return (_screen_rank_ic(stacked, split).join(quintile_spread(stacked, split), "regime")
             .join(breadth_and_effective_n(stacked), "regime"))
 

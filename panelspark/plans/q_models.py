@@ -55,7 +55,7 @@ SFI_SQL = FOLD_SQL + ", lg AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature,
 sl AS (SELECT feature, fold, covar_pop(x, y) / nullif(var_pop(CASE WHEN y IS NOT NULL THEN x END), 0) AS slope FROM lg JOIN fo ON fo.date = lg.date AND role = 'train' WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2),
 sg AS (SELECT lg.feature, fo.fold, lg.date, ticker, sign(slope) * x AS p, y FROM lg JOIN fo ON fo.date = lg.date AND role = 'validation' JOIN sl ON sl.feature = lg.feature AND sl.fold = fo.fold),
 rk AS (SELECT *, {avg_rank('p', 'feature, date')} AS a, {avg_rank('y', 'feature, date')} AS b, row_number() OVER (PARTITION BY feature, date ORDER BY p DESC NULLS LAST, ticker) AS t,
-  row_number() OVER (PARTITION BY feature, date ORDER BY p NULLS LAST, ticker) AS u, greatest(1, ceil(count(p) OVER (PARTITION BY feature, date) * 0.1::DOUBLE)) AS k FROM sg),
+  row_number() OVER (PARTITION BY feature, date ORDER BY p NULLS LAST, ticker) AS u, greatest(1, ceil(count(*) OVER (PARTITION BY feature, date) * 0.1::DOUBLE)) AS k FROM sg),
 dd AS (SELECT feature, fold, date, coalesce({corr_sql('a', 'b')}, 0) AS ic, avg(CASE WHEN t <= k THEN y END) - avg(CASE WHEN u <= k THEN y END) AS sp FROM rk GROUP BY 1, 2, 3 HAVING count(*) >= 2),
 fs AS (SELECT feature, fold, avg(ic) AS m, CASE WHEN stddev_pop(ic) <= 1e-12 THEN 0 ELSE avg(ic) / stddev_pop(ic) END AS ir, avg(sp) AS sp FROM dd GROUP BY 1, 2),
 ag AS (SELECT feature, avg(m) AS m, avg(ir) AS ir, avg(sp) AS sp, avg(CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0 END) AS ps, avg(CASE WHEN sp > 0 THEN 1.0::DOUBLE ELSE 0 END) AS pp, median(sp) AS md, quantile_cont(sp, 0.25) AS lq FROM fs GROUP BY 1),

@@ -116,7 +116,7 @@ def _(spark, d):
 
 
 DIAG = IC + """, tb AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY p DESC NULLS LAST, ticker) AS t, row_number() OVER (PARTITION BY date ORDER BY p NULLS LAST, ticker) AS u,
-  greatest(1, ceil(count(p) OVER (PARTITION BY date) * 0.1::DOUBLE)) AS k FROM sig),
+  greatest(1, ceil(count(*) OVER (PARTITION BY date) * 0.1::DOUBLE)) AS k FROM sig),
 sp AS (SELECT date, avg(CASE WHEN t <= k THEN y END) - avg(CASE WHEN u <= k THEN y END) AS spread FROM tb GROUP BY date),
 diag AS (SELECT date, coalesce(ic, 0) AS rank_ic, coalesce(lic, 0) AS linear_ic, spread, n FROM dic JOIN sp USING (date))"""
 

@@ -49,15 +49,21 @@ def test_quantiles_match_pandas(spark, skewed, split):
 def test_top_bottom_takes_ties_in_ticker_order(spark, skewed, split):
     got = X.with_top_bottom(load(spark, skewed), ["date"], "x", 0.4, split=split).toPandas()
     for date, g in skewed.groupby("date"):
-        known = g[g["x"].notna()]
-        k = max(1, int(np.ceil(len(known) * 0.4)))
-        top = set(known.sort_values(["x", "ticker"], ascending=[False, True]).head(k)["ticker"])
-        low = set(known.sort_values(["x", "ticker"]).head(k)["ticker"])
+        k = max(1, int(np.ceil(len(g) * 0.4)))
+        top = set(g.sort_values(["x", "ticker"], ascending=[False, True]).head(k)["ticker"])
+        low = set(g.sort_values(["x", "ticker"]).head(k)["ticker"])
         mine = got[got["date"] == date]
         assert set(mine.loc[mine["is_top"], "ticker"]) == top
         assert set(mine.loc[mine["is_bottom"], "ticker"]) == low
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_missing_values_fill_up_the_top(spark, split):
+    df = spark.createDataFrame([("2020-01-01", f"K{i}", 1.0 if i == 3 else None, 0.0) for i in range(5)], "date string, ticker string, x double, y double")
+    got = X.with_top_bottom(df.withColumn("date", F.col("date").cast("date")), ["date"], "x", 0.6, split=split).where("is_top").toPandas()
+    assert sorted(got["ticker"]) == ["K0", "K1", "K3"]
+
+
 def test_cumulative_over_everything_uses_no_global_sort(spark, skewed):
     c = X.cumulative_by_value(load(spark, skewed), [], "x", {"n": F.count("*")}).toPandas().sort_values("x")
     assert (c["n_before"].to_numpy() == np.concatenate([[0], c["n"].cumsum().to_numpy()[:-1]])).all()
