@@ -1 +1,8 @@
 """panelspark: DataFrame operators for daily entity panels keyed by (date, ticker)."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel by value, so workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -257,10 +257,8 @@ def trim_leading_incomplete_dates(df: DataFrame, ignore: tuple[str, ...] = (*KEY
         return df
     whole = all_of([F.col(c).isNotNull() for c in features])
     per_date = df.groupBy(DATE).agg(F.bool_and(whole).alias("_whole"))
-    first = per_date.where("_whole").agg(F.min(DATE).alias("_first"), F.lit(1).alias("_one"))
-    # One row, broadcast on a constant key.
-    return (df.withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one")
-            .where(F.col(DATE) >= F.col("_first")).drop("_one", "_first"))
+    first = per_date.where("_whole").agg(F.min(DATE))
+    return df.where(F.col(DATE) >= first.scalar())
 
 
 def exclude_period(df: DataFrame, start: str, end: str, bridge: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.contract import DATE, HOLD_PERIOD, TICKER
 from panelspark.operators.calendars import day_window, distinct_dates, session_index
+from panelspark.operators.evaluation import one_row
 from panelspark.sources.scans import SPEC_DEFAULTS
 
 
@@ -145,9 +146,8 @@ def buy_and_hold_benchmark(prices: DataFrame, price: str = "hl_context_stock_clo
     portfolio: sum of wealth changes over the wealth of the day before.
     """
     sessions = session_index(distinct_dates(prices))
-    start = prices.agg(F.min(DATE).alias("_start"), F.lit(1).alias("_one"))
-    first = (prices.withColumn("_one", F.lit(1)).join(F.broadcast(start), "_one")
-             .where((F.col(DATE) == F.col("_start")) & (F.col(price) > 0)).select(TICKER))
+    start = prices.agg(F.min(DATE))
+    first = prices.where((F.col(DATE) == start.scalar()) & (F.col(price) > 0)).select(TICKER)
     held = prices.join(first, TICKER, "left_semi").where(F.col(price).isNotNull()).select(DATE, TICKER, price)
     order = Window.partitionBy(TICKER).orderBy(DATE)
     growth = F.try_divide(F.col(price), F.lag(price).over(order))
@@ -214,14 +214,14 @@ def backtest_summary(daily: DataFrame, trades: DataFrame, initial_equity: float)
         (F.stddev_pop("realized_return") * sqrt(252.0)).alias("annualized_volatility"), F.min("_drawdown").alias("max_drawdown"),
         (F.avg("turnover") * 252.0).alias("turnover_annualized"), F.avg("gross_exposure").alias("average_gross_exposure"),
         F.avg("capacity_binding_share").alias("capacity_binding_share"),
-        F.max(F.abs("reconciliation_error")).alias("reconciliation_error_max_abs"), F.lit(1).alias("_one"))
+        F.max(F.abs("reconciliation_error")).alias("reconciliation_error_max_abs"))
     amount = F.sum("notional")
     t = trades.where(F.col("exit_date").isNotNull()).agg(
         F.count("*").cast("double").alias("trade_count"), F.coalesce(F.avg((F.col("net_return") > 0).cast("double")), F.lit(0.0)).alias("win_rate"),
         F.coalesce(F.try_divide(F.sum("entry_cost"), amount), F.lit(0.0)).alias("avg_entry_cost_rate"),
         F.coalesce(F.try_divide(F.sum("exit_cost"), amount), F.lit(0.0)).alias("avg_exit_cost_rate"),
-        F.coalesce(F.try_divide(F.sum("total_cost"), amount), F.lit(0.0)).alias("avg_roundtrip_cost_rate"), F.lit(1).alias("_one"))
-    s = d.join(F.broadcast(t), "_one").drop("_one")
+        F.coalesce(F.try_divide(F.sum("total_cost"), amount), F.lit(0.0)).alias("avg_roundtrip_cost_rate"))
+    s = one_row(d, t)
     initial = float(initial_equity)
     years = 252.0 / F.greatest(F.col("_days"), F.lit(1))
     s = s.withColumns({

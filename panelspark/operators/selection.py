@@ -180,8 +180,8 @@ def feature_vectors(sample: DataFrame, features: list[str]) -> DataFrame:
 def feature_pairs(scopes: DataFrame) -> DataFrame:
     """(scope, left, right) for each unordered pair of features sharing a scope.  The pair list is
     as long as the schema allows and independent of the rows."""
-    names = scopes.groupBy("scope").agg(F.collect_set("feature").alias("_names"))
-    return (scopes.join(names, "scope").withColumn("right", F.explode(F.filter("_names", lambda n: n > F.col("feature"))))
+    named_scopes = scopes.withColumn("_names", F.collect_set("feature").over(Window.partitionBy("scope")))
+    return (named_scopes.withColumn("right", F.explode(F.filter("_names", lambda n: n > F.col("feature"))))
             .select("scope", F.col("feature").alias("left"), "right"))
 
 

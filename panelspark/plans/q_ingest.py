@@ -121,7 +121,7 @@ def _(spark, d):
     path = scratch_folder(spark, "specs")
     half = F.when(F.col("p_partkey") % 2 == 0, F.lit(0.001))
     specs(spark, d).withColumn("commission_rate", half).drop("p_partkey").write.json(path)
-    default = spark.read.schema(SC.SPEC_SCHEMA).json(path).limit(1).withColumns(
+    default = spark.read.schema(SC.SPEC_SCHEMA).json(path).orderBy("symbol").limit(1).withColumns(
         {"symbol": F.lit("__default_stock__"), "instrument_group": F.lit("stock_cash"), "spread_bps": F.lit(5.0),
          "effective_from": F.lit("1995-01-01").cast("date"), "effective_to": F.lit(None).cast("date"),
          "commission_rate": F.lit(None).cast("double")})
@@ -310,8 +310,8 @@ def _(spark, d):
     df, root = bars(spark, d), scratch_folder(spark, "bundle")
     dates = C.distinct_dates(df).count()
     W.write_bundle({"tickers": df.groupBy(TICKER).agg(F.count("*").alias("rows"))}, root, {"dates": dates}, csv=("tickers",))
-    scalars = spark.read.json(f"{root}/scalars").select(F.col("dates").cast("bigint").alias("dates"), F.lit(1).alias("_one"))
-    return (spark.read.parquet(f"{root}/tickers").withColumn("_one", F.lit(1)).join(F.broadcast(scalars), "_one").drop("_one"))
+    scalars = spark.read.json(f"{root}/scalars").select(F.col("dates").cast("bigint"))
+    return spark.read.parquet(f"{root}/tickers").withColumn("dates", scalars.scalar())
 
 
 @query("r024_broker_snapshots", f"""WITH {SPECS_SQL} SELECT symbol, count(*) AS specs, {r('sum(long_swap_bps_daily)', 'long_swap')} FROM specs GROUP BY symbol""")
@@ -618,8 +618,8 @@ def _(spark, d):
 def _(spark, d):
     a = bars(spark, d).select(*KEY, CLOSE)
     b = bars(spark, d).select(*KEY, (F.col(VOLUME) * 2).alias("doubled"))
-    gaps = J.aligned(a, b).select("unmatched", F.lit(1).alias("_one"))
-    return out(J.bind_columns(a, b).withColumn("_one", F.lit(1)).join(F.broadcast(gaps), "_one"), [CLOSE, "doubled"], keep=("date", "ticker", "unmatched"), digits=4)
+    gaps = J.aligned(a, b).select("unmatched")
+    return out(J.bind_columns(a, b).withColumn("unmatched", gaps.scalar()), [CLOSE, "doubled"], keep=("date", "ticker", "unmatched"), digits=4)
 
 
 @query("r074_interval_merge", f"""WITH {SPELL_SQL}, u AS (SELECT *, max(end_date) OVER (PARTITION BY ticker ORDER BY start_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),

@@ -301,8 +301,8 @@ SPECS_SQL = """specs AS (SELECT CAST(p_partkey % (SELECT max(s_suppkey) + 1 FROM
 
 def specs(spark, d):
     """Instrument specs derived from part: one symbol has several validity intervals."""
-    n = table(spark, d, "supplier").agg((F.max("s_suppkey") + 1).alias("_n"), F.lit(1).alias("_one"))
-    p = table(spark, d, "part").withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
+    n = table(spark, d, "supplier").agg(F.max("s_suppkey") + 1)
+    p = table(spark, d, "part").withColumn("_n", n.scalar())
     size, start = F.col("p_size"), (F.col("p_partkey") % 1500).cast("int")
     origin = F.lit("1995-01-01").cast("date")
     return p.select(

@@ -262,9 +262,9 @@ def _(spark, d):
   dp AS (SELECT *, alpha > 0 AND ir > 0 AND dsr >= 0.5 AS ok FROM lb) SELECT model_name, ok::INT AS is_deployable FROM dp ORDER BY ok DESC, alpha DESC, ir DESC, calmar DESC, model_name LIMIT 1""")
 def _(spark, d):
     s = EV.sharpe_statistics(_strategies(spark, d), (K.SECTOR,), TRIALS)
-    mean = s.agg(F.avg("mean").alias("_mean"), F.lit(1).alias("_one"))
-    board = s.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one").select(
-        F.col(K.SECTOR).alias("model_name"), (F.col("mean") - F.col("_mean")).alias("alpha_over_benchmark_net"), F.col("sharpe_ratio").alias("daily_rank_ic_ir"),
+    mean = s.agg(F.avg("mean"))
+    board = s.select(
+        F.col(K.SECTOR).alias("model_name"), (F.col("mean") - mean.scalar()).alias("alpha_over_benchmark_net"), F.col("sharpe_ratio").alias("daily_rank_ic_ir"),
         (F.col("sharpe_ratio") / 2).alias("calmar_ratio"), "deflated_sharpe_ratio", F.lit(0.0).alias("pbo"))
     return EV.promoted_model(EV.with_deployability(board)).select("model_name", F.col("is_deployable").cast("int").alias("is_deployable"))
 
