@@ -199,10 +199,12 @@ def with_text_position(df: DataFrame, by: list[str], text: str, out: str, prefix
     shared = F.size(F.filter(F.sequence(F.lit(1), F.lit(64)),
                              lambda i: F.substring(F.col("_low"), F.lit(1), i) == F.substring(F.col("_high"), F.lit(1), i)))
     bounds = df.groupBy(*by).agg(F.min(text).alias("_low"), F.max(text).alias("_high"))
-    marked = join_back(df, bounds.select(*by, F.when(F.col("_low") == F.col("_high"), 0).otherwise(shared).alias("_skip")), by)
+    skip = F.when(F.col("_low") == F.col("_high"), 0).otherwise(shared).alias("_skip")
+    marked = join_back(df, bounds.select(*by, skip), by) if by else df.withColumn("_skip", bounds.select(skip).scalar())
     marked = marked.withColumn("_prefix", F.substring(F.col(text), F.lit(1), F.col("_skip") + prefix)).drop("_skip")
     counts = marked.groupBy(*by, "_prefix").agg(F.count("*").alias("_count"))
-    earlier = Window.partitionBy(*by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    earlier = group.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_prefix", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy(*by, "_prefix").orderBy(text)
     return (marked.join(offsets, [*by, "_prefix"])

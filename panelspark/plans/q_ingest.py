@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from panelspark import contract as K
@@ -121,10 +123,9 @@ def _(spark, d):
     path = scratch_folder(spark, "specs")
     half = F.when(F.col("p_partkey") % 2 == 0, F.lit(0.001))
     specs(spark, d).withColumn("commission_rate", half).drop("p_partkey").write.json(path)
-    default = spark.read.schema(SC.SPEC_SCHEMA).json(path).orderBy("symbol").limit(1).withColumns(
-        {"symbol": F.lit("__default_stock__"), "instrument_group": F.lit("stock_cash"), "spread_bps": F.lit(5.0),
-         "effective_from": F.lit("1995-01-01").cast("date"), "effective_to": F.lit(None).cast("date"),
-         "commission_rate": F.lit(None).cast("double")})
+    values = {"symbol": "__default_stock__", "instrument_group": "stock_cash", "spread_bps": 5.0, "effective_from": date(1995, 1, 1)}
+    schema = spark.read.schema(SC.SPEC_SCHEMA).json(path).schema
+    default = spark.createDataFrame([tuple(values.get(f.name) for f in schema.fields)], schema)
     # One JSON object per line here; a snapshot file holds one array, read with multiLine.
     df = SC.with_spec_defaults(spark.read.schema(SC.SPEC_SCHEMA).json(path))
     df = df.unionByName(SC.with_spec_defaults(default).join(df.select("symbol").distinct(), "symbol", "left_anti"))
