@@ -225,16 +225,20 @@ def distance_correlation(a: np.ndarray, b: np.ndarray) -> float:
 METRICS = {"spearman": abs_spearman, "pearson": abs_pearson, "distance": distance_correlation}
 
 
-def pair_metric(pairs: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
-    """Add ``value``: the metric of each pair, pairs spread over the cluster."""
+def _scorer(metric: str):
     fn = METRICS[metric]
 
     @F.pandas_udf(T.DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([fn(_as_array(x), _as_array(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+    return score
+
+
+def pair_metric(pairs: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
+    """Add ``value``: the metric of each pair, pairs spread over the cluster."""
     left = vectors.select(F.col("feature").alias("left"), F.col("values").alias("_a"))
     right = vectors.select(F.col("feature").alias("right"), F.col("values").alias("_b"))
-    return pairs.join(left, "left").join(right, "right").withColumn("value", score("_a", "_b")).drop("_a", "_b")
+    return pairs.join(left, "left").join(right, "right").withColumn("value", _scorer(metric)("_a", "_b")).drop("_a", "_b")
 
 
 def spearman_matrix(sample: DataFrame, features: list[str]) -> DataFrame:
@@ -288,10 +292,11 @@ def prune_redundant(board: DataFrame, vectors: DataFrame, metric: str, threshold
 
 def target_distance_filter(features: DataFrame, vectors: DataFrame, target: str, threshold: float = TARGET_THRESHOLD) -> DataFrame:
     """(feature, target_distance_correlation, passes_target_correlation, drop_reason)."""
-    pairs = features.select(F.col("feature").alias("left"), F.lit(target).alias("right"))
-    scored = pair_metric(pairs, vectors, "distance")
+    wanted = vectors.where(F.col("feature") == target).select("values")
+    scored = (features.select("feature").join(vectors, "feature").withColumn("_target", wanted.scalar())
+              .withColumn("value", _scorer("distance")("values", "_target")))
     passes = F.col("value") > threshold
-    return scored.select(F.col("left").alias("feature"), F.col("value").alias("target_distance_correlation"), passes.alias("passes_target_correlation"),
+    return scored.select("feature", F.col("value").alias("target_distance_correlation"), passes.alias("passes_target_correlation"),
                          F.when(passes, "retained").otherwise("low_target_distance_correlation").alias("drop_reason"))
 
 
