@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import lines, mixing, sharding
-from panelspark.llm.common import cut_lineage, documents, scratch_folder, word_count
+from panelspark.llm import bpe, lines, lm, media, mixing, passages, sharding, simhash, topk, toxicity
+from panelspark.llm.common import cut_lineage, documents, scratch_folder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,47 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op10_lines"] = lines.oracle()
+
+
+@query
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder, "doc_id", "text"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text")
+    known = table(spark, folder, "labels").select("doc_id", "toxic").where(~toxicity.held_out("doc_id"))
+    scored = toxicity.classify(docs, known)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(documents(spark, folder, "doc_id", "text"), bpe.default_vocabulary(spark), digests=True, round_trip=True)
+
+
+@query
+def op6_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text")
+    trie = lm.build(docs.where(~lm.held_out("doc_id")))
+    return lm.score(docs, trie).withColumn("held_out", lm.held_out("doc_id"))
+
+
+@query
+def op7_media(spark: SparkSession, folder: str) -> DataFrame:
+    return media.media_columns(documents(spark, folder, "doc_id", "text"), scratch_folder(spark, "media"))
+
+
+@query
+def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+ORACLES["op8_topk"] = topk.ORACLE
+
+
+@query
+def op9_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, folder, "doc_id", "text"))
