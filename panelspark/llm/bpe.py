@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelspark.llm.common import fixed_schema
+from panelspark.llm.common import column_like, fixed_schema
 
 # The public pre-tokeniser pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -157,41 +157,40 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", digests: boo
     input columns named as a result column are replaced.
     """
     added = ["n_tokens long"] + (["ids_sha256 string"] if digests else ["ids array<int>"]) + (["decoded_sha256 string"] if round_trip else [])
-    names = {x.split()[0] for x in added}
-    rest = [f for f in docs.schema.fields if f.name not in names and f.name != text]
-    rows = docs.select(*[docs[f"`{f.name}`"] for f in rest], docs[f"`{text}`"].alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + added)
-    tail = fixed_schema(", ".join(added))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(vocabulary)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                columns: list[list] = [[] for _ in added]
-                for value in part.column("_text"):
-                    ids = words.encode(value.as_py() or "")
-                    row = [len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() if digests else ids]
-                    if round_trip:
-                        row.append(hashlib.sha256(words.decode(ids).encode()).hexdigest())
-                    for column, cell in zip(columns, row):
-                        column.append(cell)
-                arrays = [part.column(i) for i in range(len(rest))] + [pa.array(c, f.type) for c, f in zip(columns, tail)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in rest] + tail.names)
-    return rows.mapInArrow(run, schema)
+    names = [x.split()[0] for x in added]
+    rest = [column_like(docs, c) for c in docs.columns if c not in (*names, text)]
+    kinds = fixed_schema(", ".join(added))
+    opened: list[Vocabulary] = []
+
+    @F.arrow_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in added)}>")
+    def coded(column: pa.Array) -> pa.Array:
+        if not opened:
+            opened.append(Vocabulary(vocabulary))
+        words, parts = opened[0], []
+        for at in range(0, len(column), 256):
+            cells: list[list] = [[] for _ in added]
+            for value in column[at:at + 256]:
+                ids = words.encode(value.as_py() or "")
+                row = [len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() if digests else ids]
+                if round_trip:
+                    row.append(hashlib.sha256(words.decode(ids).encode()).hexdigest())
+                for cell, x in zip(cells, row):
+                    cell.append(x)
+            parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cells, kinds)], names=names))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(kinds)))
+    return docs.select(*rest, coded(column_like(docs, text)).alias("_coded")).select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*names, text)], "_coded.*")
 
 
 def decode(rows: DataFrame, vocabulary: str, *, ids: str = "ids") -> DataFrame:
     """The columns of ``rows`` with ``text`` decoded from the ``ids`` column; NULL ids give NULL text, an unknown id fails."""
-    rest = [f for f in rows.schema.fields if f.name not in ("text", ids)]
-    source = rows.select(*[rows[f"`{f.name}`"] for f in rest], rows[f"`{ids}`"].alias("_ids"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(vocabulary)
-        for batch in batches:
-            text = [None if x.as_py() is None else words.decode(x.as_py()) for x in batch.column("_ids")]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(rest))] + [pa.array(text, pa.string())], names=[f.name for f in rest] + ["text"])
-    return source.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["text string"]))
+    opened: list[Vocabulary] = []
+
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
+        if not opened:
+            opened.append(Vocabulary(vocabulary))
+        return pa.array([None if x.as_py() is None else opened[0].decode(x.as_py()) for x in column], pa.string())
+    return rows.select(*[column_like(rows, c) for c in rows.columns if c not in ("text", ids)], text(column_like(rows, ids)).alias("text"))
 
 
 def default_vocabulary(spark: SparkSession) -> str:

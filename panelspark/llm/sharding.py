@@ -44,21 +44,23 @@ def first_map(sizes: DataFrame, shards: int) -> DataFrame:
 def rebalance(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     """The next version of the map for ``shards`` shards and the present slot sizes.
 
-    Only slots above a shard's fair share move, in a fixed hash order, into the free space of the
-    shards below it; every other slot stays where it is.  Slots of shards that no longer exist move.
+    Only slots whose middle is above a shard's fair share move, in a fixed hash order, into the free space of the
+    shards that lack more than the largest slot (or lack most); every other slot stays where it is.  Slots of shards that no
+    longer exist move.
     """
     known = (current.select("version", "virtual_slot", "shard").join(sizes, "virtual_slot", "left")
              .fillna(0, ["slot_bytes", "slot_rows"]))
-    total = known.agg(F.sum("slot_bytes").alias("_total"))
+    total = known.agg(F.sum("slot_bytes").alias("_total"), F.max("slot_bytes").alias("_largest"))
     share = F.col("_total") / F.lit(float(shards))
     order = Window.partitionBy("shard").orderBy(F.xxhash64("virtual_slot"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
     placed = (known.withColumn("_total", F.sum("slot_bytes").over(Window.partitionBy(F.lit(1))))
-              .withColumn("_sum", F.sum("slot_bytes").over(order)).withColumn("_move", (F.col("shard") >= shards) | (F.col("_sum") > share)))
+              .withColumn("_sum", F.sum("slot_bytes").over(order)).withColumn("_move", (F.col("shard") >= shards) | (F.col("_sum") - F.col("slot_bytes") / 2 > share)))
     stay = placed.where("NOT _move")
     load = stay.groupBy("shard").agg(F.sum("slot_bytes").alias("_load"))
     spark = current.sparkSession
     room = (spark.range(shards).select(F.col("id").cast("int").alias("shard")).join(load, "shard", "left").fillna(0, ["_load"])
-            .join(total).withColumn("_free", F.greatest(share - F.col("_load"), F.lit(0.0))))
+            .join(total).withColumn("_free", F.greatest(share - F.col("_load"), F.lit(0.0)))
+            .withColumn("_most", F.max("_free").over(Window.partitionBy(F.lit(1)))).where("_free > _largest OR _free = _most"))
     line = Window.partitionBy(F.lit(1)).orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     room = room.withColumn("_to", F.sum("_free").over(line)).withColumn("_from", F.col("_to") - F.col("_free"))
     gaps = room.where("_free > 0").groupBy().agg(F.sort_array(F.collect_list(F.struct("_to", "shard"))).alias("_gaps"))
@@ -78,7 +80,7 @@ def save_map(slot_map: DataFrame, folder: str) -> None:
 
 def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """A version of the map, the latest by default."""
-    stored = spark.read.parquet(folder)
+    stored = spark.read.schema("virtual_slot int, shard int, slot_bytes long, slot_rows long, version int").parquet(folder)
     if version is None:
         return stored.where(F.col("version") == stored.agg(F.max("version")).first()[0])
     return stored.where(F.col("version") == version)

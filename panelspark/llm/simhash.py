@@ -242,8 +242,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """The row of the least key of every component, with all columns of ``docs``.
 
-    Of rows that share that key one stays.  Rows with a NULL key stay only where their component has no other
-    row, and then one of them.
+    Of rows that share that key one stays.  A component of rows with NULL keys only keeps one row of each
+    fingerprint; beside keyed rows NULL keys go.
     """
     chosen = (near_duplicates(docs, key=key, text=text, words=words, radius=radius)
               .select(F.col("component_id").alias("_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_fp")).distinct())

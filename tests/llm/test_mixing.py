@@ -36,7 +36,7 @@ def brute(rows, seed=42):
         whole = math.floor(target[s] / total) if total else 0
         extra, before = target[s] - whole * total, 0
         for _, n, doc in mine:
-            out.append((doc, n, total, round(target[s], 6), n * (whole + (2 * before + n <= 2 * extra))))
+            out.append((doc, n, total, round(float(target[s]), 6), n * (whole + (2 * before + n <= 2 * extra))))
             before += n
     return out
 

@@ -1,5 +1,3 @@
-import os
-
 import corpus_pipeline
 from panelspark.llm import bpe, lines, mixing, simhash, toxicity
 from panelspark.llm.common import word_count
@@ -24,14 +22,15 @@ def test_stage_names_and_columns(spark, tmp_path):
     kept = [(r[0], changed[r[0], r[1]][0], r[2], r[3], None if r[1] is None else len(changed[r[0], r[1]][0])) for r in kept]
     prints = [fingerprint(r[1], 5) for r in kept]
     near = [(i, j) for i in range(len(kept)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
-    least = {}
-    for r, g in zip(kept, groups(len(kept), near)):
+    least, one, root = {}, {}, groups(len(kept), near)
+    for r, g in zip(kept, root):
         if r[0] is not None:
             least[g] = min(least.get(g, r[0]), r[0])
-    one = {}
-    for r in kept:
+    for r, g, p in zip(kept, root, prints):
         if r[0] in least.values():
             one[r[0]] = r
+        elif r[0] is None and g not in least:
+            one["loose", p] = r
     kept = list(one.values())
     mixed = mixing.repeat_rows(mixing.mix(frame(spark, kept), word_count("text"), mixing.cycle_weights(3, 1, 2))).collect()
     words = bpe.Vocabulary(bpe.default_vocabulary(spark))
@@ -49,8 +48,3 @@ def test_every_stage_takes_awkward_and_empty_tables(spark, tmp_path):
             assert out.columns == docs.columns
             assert out.count() <= 2 * len(rows)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
-
-
-def test_the_corpus_folders_are_optional():
-    source = open(os.path.join(os.path.dirname(corpus_pipeline.__file__), "__spark_entry__.py")).read()
-    assert "ModuleNotFoundError" in source and simhash.TILE > 0
