@@ -12,10 +12,10 @@ RUN = 2
 
 
 def _identity(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Input as a struct, with the text and what tells a document: its key and a hash of its text."""
+    """The text, the other columns as a struct, and what tells a document: its key and a hash of its text."""
     body = column_like(docs, text)
-    return docs.select(F.struct(*[column_like(docs, c) for c in docs.columns]).alias("_row"), body.alias("_text"), column_like(docs, key).alias("_key"),
-                       F.xxhash64(body).alias("_hash"))
+    rest = [column_like(docs, c) for c in docs.columns if c != text]
+    return docs.select((F.struct(*rest) if rest else F.lit(None)).alias("_row"), body.alias("_text"), column_like(docs, key).alias("_key"), F.xxhash64(body).alias("_hash"))
 
 
 def _windows(rows: DataFrame, run: int) -> DataFrame:
@@ -49,10 +49,11 @@ def repeated_runs(docs: DataFrame, run: int = RUN, *, key: str = "doc_id", text:
     windows = cut_lineage(_windows(rows, run), "line_windows")
     place = F.struct("_key", "_hash", "_anchor_at")
     positions = windows.groupBy("_anchor").agg(F.min(place).alias("_low"), F.max(place).alias("_high")).where("_low < _high").select("_anchor")
-    found = windows.join(positions, "_anchor", "left_semi")
+    # Both sides of these joins are stored tables, so a hot anchor or window can be split among tasks.
+    found = windows.join(cut_lineage(positions, "line_anchors"), "_anchor", "left_semi")
     first = found.groupBy("_window").agg(F.min(F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_hash").alias("h"),
                                                         F.col("_i").alias("i"))).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1")
-    later = found.join(first.drop("_times"), "_window")
+    later = found.join(cut_lineage(first.drop("_times"), "first_windows"), "_window")
     same = F.col("_key").eqNullSafe(F.col("_first.k")) & (F.col("_hash") == F.col("_first.h"))
     later = later.where(~same | (F.col("_i") >= F.col("_first.i") + run)).select("_key", "_hash", "_i", "_start", "_end").distinct()
     doc = Window.partitionBy("_key", "_hash").orderBy("_i")
