@@ -53,12 +53,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0]:ends[-1]], ends - ends[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``CHUNK_BYTES`` of text, so that memory does not follow the batch size."""
+def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``size`` bytes of text, so that memory does not follow the batch size."""
     _, ends = utf8(batch.column(text))
     first = 0
     while first < len(batch):
-        last = int(np.searchsorted(ends, ends[first] + CHUNK_BYTES, side="right")) - 1
+        last = int(np.searchsorted(ends, ends[first] + size, side="right")) - 1
         last = min(max(last, first + 1), len(batch))
         yield batch.slice(first, last - first)
         first = last

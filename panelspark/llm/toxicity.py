@@ -16,35 +16,75 @@ from panelspark.llm.common import chunks, column_like, cut_lineage, fixed_schema
 
 #: Lengths of the n-grams in characters and the number of buckets (as a power of two) they are hashed into.
 ORDERS, BITS = (3, 4, 5), 18
+#: Characters whose n-grams are held at once.
+PIECE = 1 << 18
 #: Labelled rows of each class that the model is fitted on, the first by a hash of their key; the only sample taken.
 SAMPLE_PER_CLASS = 8192
 #: N-gram buckets that enter the model, those with the strongest two-class difference.
 FEATURES = 8192
 
 
-def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and bucket of every character n-gram, repeats included.
-
-    Texts are lower-cased, controls and white space are spaces, and a space stands at either end, so word
-    borders are part of the n-grams.  NULL is the empty text, whose only characters are the two spaces.
-    """
-    padded = [f" {(t or '').lower()} " for t in texts]
-    letters = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+def _grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Piece number and bucket of every n-gram of some strings, repeats included."""
+    letters = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     letters[letters < 32] = 32
-    size = np.array([len(t) for t in padded], np.int64)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), size)
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(letters))
-    who, bucket, code = [], [], letters.copy()
+    size = np.array([len(t) for t in pieces], np.int64)
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+    left = (np.repeat(np.cumsum(size), size) - np.arange(len(letters))).astype(np.int32)
+    who, bucket, code = [], [], letters
     for n in range(2, max(ORDERS) + 1):
         code = code[:-1] * np.uint32(0x01000193) + letters[n - 1:] * np.uint32(0x9E3779B1) if len(code) > 1 else code[:0]
         if n in ORDERS:
             inside = left[:len(code)] >= n
             mixed = (code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA77) + np.uint32(n)
+            mixed = ((mixed ^ (mixed >> np.uint32(13))) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)
             who.append(owner[:len(code)][inside])
-            bucket.append((((mixed ^ (mixed >> np.uint32(13))) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)).astype(np.int64)[inside])
+            bucket.append(mixed[inside].astype(np.int32))
     return np.concatenate(who), np.concatenate(bucket)
 
 
+def _padded(text: str | None) -> str:
+    return f" {(text or '').lower()} "
+
+
+def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and bucket of every character n-gram, repeats included.
+
+    Texts are lower-cased, controls and white space are spaces, and a space stands at either end, so word
+    borders are part of the n-grams.  NULL is the empty text, whose only characters are the two spaces.
+    """
+    return _grams([_padded(t) for t in texts])
+
+
+def distinct(texts: list[str | None], use: np.ndarray | None = None) -> np.ndarray:
+    """Sorted (text number << BITS | bucket) of the distinct buckets of each text, those with ``use`` only.
+
+    About ``PIECE`` characters are handled at once; a longer text goes through in pieces that overlap by an n-gram.
+    """
+    out, pieces, owners, held, step = [np.zeros(0, np.int64)], [], [], 0, PIECE - max(ORDERS) + 1
+
+    def flush() -> None:
+        who, bucket = _grams(pieces)
+        if use is not None:
+            keep = use[bucket]
+            who, bucket = who[keep], bucket[keep]
+        out.append(np.unique((np.array(owners, np.int64)[who] << BITS) | bucket))
+
+    for i, text in enumerate(texts):
+        line = _padded(text)
+        for at in range(0, max(len(line) - max(ORDERS) + 1, 1), step):
+            pieces.append(line[at:at + PIECE])
+            owners.append(i)
+            held += len(pieces[-1])
+            if held >= PIECE:
+                flush()
+                pieces, owners, held = [], [], 0
+    if pieces:
+        flush()
+    # Pieces of one text may share buckets.
+    return np.unique(np.concatenate(out))
+
+
 @dataclass(frozen=True)
 class Model:
     """Weight of every bucket (0 for those that did not enter) and the intercept."""
@@ -53,9 +93,7 @@ class Model:
     intercept: float
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        who, bucket = ngrams(texts)
-        heavy = self.weights[bucket] != 0
-        once = np.unique((who[heavy] << BITS) | bucket[heavy])
+        once = distinct(texts, self.weights != 0)
         total = np.bincount(once >> BITS, self.weights[once & ((1 << BITS) - 1)], len(texts))
         return 1 / (1 + np.exp(-np.clip(total + self.intercept, -50, 50)))
 
@@ -64,9 +102,8 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Documents of each class in which a bucket occurs, summed over the task."""
     seen = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        for part in chunks(batch):
-            who, bucket = ngrams(part.column("text").to_pylist())
-            once = np.unique((who << BITS) | bucket)
+        for part in chunks(batch, size=4 * PIECE):
+            once = distinct(part.column("text").to_pylist())
             label = part.column("toxic").to_numpy()[once >> BITS]
             for k in (0, 1):
                 seen[k] += np.bincount(once[label == k] & ((1 << BITS) - 1), minlength=1 << BITS)
@@ -81,10 +118,9 @@ def _selected(order: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
-                who, bucket = ngrams(part.column("text").to_pylist())
-                keep = place[bucket] >= 0
-                once = np.unique((who[keep] << BITS) | place[bucket[keep]])
+            for part in chunks(batch, size=4 * PIECE):
+                once = distinct(part.column("text").to_pylist(), place >= 0)
+                once = np.sort((once >> BITS << BITS) | place[once & ((1 << BITS) - 1)])
                 ends = np.searchsorted(once >> BITS, np.arange(len(part) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((once & ((1 << BITS) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("weight"), lists], names=["toxic", "weight", "places"])
@@ -136,7 +172,7 @@ def scorer(model: Model) -> Column:
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([column], names=["text"])
-        parts = [model.score(part.column("text").to_pylist()) for part in chunks(batch)]
+        parts = [model.score(part.column("text").to_pylist()) for part in chunks(batch, size=4 * PIECE)]
         return pa.array(np.concatenate([np.zeros(0), *parts]))
     return score
 

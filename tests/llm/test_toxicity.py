@@ -43,6 +43,16 @@ def test_ngrams_are_those_of_each_text():
     assert len(set(same[1][same[0] == 0].tolist()) & set(same[1][same[0] == 1].tolist())) >= 1
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    texts = ["", "ab", "the idiot said so " * 40, "x" * 333, None, "naïve Ünï " * 50]
+    whole = toxicity.distinct(texts)
+    who, bucket = toxicity.ngrams(texts)
+    assert whole.tolist() == sorted({(int(w) << toxicity.BITS) | int(b) for w, b in zip(who, bucket)})
+    for piece in (16, 100, 257):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert toxicity.distinct(texts).tolist() == whole.tolist()
+
+
 def test_held_out_accuracy(spark):
     rows, labels = corpus()
     docs = frame(spark, rows + awkward()[-8:-4], extra=False)
