@@ -77,7 +77,7 @@ class _Shards:
     def append(self, digest: str, body: bytes) -> tuple[str, int]:
         if self.out is None or self.at > SHARD_BYTES:
             self.close()
-            self.name, self.at = f"media-{uuid4().hex}.tar", 0
+            self.name, self.at = f"{uuid4().hex}.tar", 0
             self.out = self.store.open_output_stream(f"{self.path}/{self.name}")
         info = tarfile.TarInfo(f"{digest[:2]}/{digest}.png")
         info.size = len(body)
@@ -94,7 +94,7 @@ class _Shards:
             self.out = None
 
 
-STORED = "_n_bytes long, digest string, shard string, offset long, length long"
+STORED = "_n_bytes long, digest binary, shard string, offset long, length long"
 
 
 def store(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,8 +117,8 @@ def store(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "tex
                 content = hashlib.sha256(payload).digest()
                 if content not in known:
                     image = to_png(payload)
-                    digest = hashlib.sha256(image).hexdigest()
-                    known[content] = (digest, *shards.append(digest, image), len(image))
+                    digest = hashlib.sha256(image).digest()
+                    known[content] = (digest, *shards.append(digest.hex(), image), len(image))
                 found.append((len((value.as_py() or "").encode()), *known[content]))
             columns = list(zip(*found)) if found else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([batch.column("_key"), *(pa.array(c, f.type) for c, f in zip(columns, schema))], names=["_key", *schema.names])
@@ -162,20 +162,25 @@ def describe(payload: bytes) -> str:
     return f"mean={samples.mean():.4f};std={samples.std():.4f};max={samples.max()};kinds={len(np.unique(samples))};steps={steps}"
 
 
-READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
+READ = "payload_bytes long, payload_sha256 binary, tail_crc32 long, feature string"
 
 
 def payload_columns(places: DataFrame, folder: str) -> DataFrame:
-    """``places`` with the size, SHA-256, checksum of the last 64 bytes and feature of each payload, all from the stored bytes."""
+    """``places`` with the size, SHA-256, checksum of the last 64 bytes and feature of each payload, all from the stored bytes.
+
+    An image whose bytes do not have the address it is stored under fails.
+    """
     rest = places.schema.simpleString()[len("struct<"):-1].replace(":", " ")
     schema = fixed_schema(READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, images in _ranges(folder, batches, None):
             found = []
-            for image in images:
+            for image, digest in zip(images, batch.column("digest").to_pylist()):
+                if hashlib.sha256(image).digest() != digest:
+                    raise ValueError("an image does not have its address")
                 payload = from_png(image)
-                found.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), hashlib.sha256(image).hexdigest(), describe(payload)))
+                found.append((len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-ROW:]), describe(payload)))
             columns = list(zip(*found)) if found else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, f.type) for c, f in zip(columns, schema))], names=[*batch.schema.names, *schema.names])
     return places.mapInArrow(run, f"{rest}, {READ}")
@@ -192,5 +197,5 @@ def media_columns(docs: DataFrame, folder: str, *, key: str = "doc_id", text: st
     places = one.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
     read = cut_lineage(payload_columns(header_columns(places, folder), folder), "media_columns")
     joined = rows.select("_key", "_n_bytes", "digest").join(read.drop("shard", "offset"), "digest")
-    return joined.select(F.col("_key").alias(key), F.col("_n_bytes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32",
-                         F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height", "depth", "colour")
+    return joined.select(F.col("_key").alias(key), F.col("_n_bytes").alias("n_bytes"), "payload_bytes", F.lower(F.hex("payload_sha256")).alias("payload_sha256"),
+                         "tail_crc32", F.col("length").alias("media_bytes"), F.lower(F.hex("digest")).alias("media_sha256"), "feature", "width", "height", "depth", "colour")

@@ -35,8 +35,8 @@ def test_shards_are_plain_tar_with_each_image_once_per_task(spark, tmp_path):
             members = {m.offset_data: m for m in tar.getmembers()}
             for r in store:
                 member = members[r["offset"]]
-                assert member.name == f"{r['digest'][:2]}/{r['digest']}.png" and member.size == r["length"]
-                assert hashlib.sha256(tar.extractfile(member).read()).hexdigest() == r["digest"]
+                assert member.name == f"{r['digest'].hex()[:2]}/{r['digest'].hex()}.png" and member.size == r["length"]
+                assert hashlib.sha256(tar.extractfile(member).read()).digest() == r["digest"]
 
 
 def test_images_are_readable_and_damage_is_seen():
