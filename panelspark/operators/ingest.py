@@ -161,7 +161,7 @@ def fill_beta(df: DataFrame, window: int = 252, minimum: int = 63) -> DataFrame:
     return df.withColumn("beta", F.coalesce(F.col("beta"), proxy)).drop("_m", "_xm")
 
 
-# Name columns in order of preference.
+# Name columns in order of preference.
 NAME_COLUMNS = ("company_name", "company_long_name", "company_short_name", "security", "name")
 
 

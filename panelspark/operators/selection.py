@@ -8,8 +8,6 @@ the schema's width, not the data.
 from __future__ import annotations
 
 import re
-from itertools import chain
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -32,6 +30,7 @@ TARGET_THRESHOLD = 0.005
 MAX_GROUP_SIZE, SELECTED_FEATURES = 64, 30
 PEARSON_PRESCREEN, STRONG_EDGE = 0.90, 0.95
 
+# Family of each name prefix.
 FAMILIES = {"xtb_": "broker", "sector_": "sector", "open_": "open", "earnings_": "earnings", "signal_": "signal", "ta_": "ta",
             "quant_": "quant", "deep_": "deep", "calendar_": "calendar", "sentiment_": "sentiment", "macro_": "macro",
             "cross_asset_": "cross_asset", "company_": "company", "stock_": "stock"}
@@ -333,50 +332,19 @@ def prune_correlated(sample: DataFrame, features: list[str], target: str, prescr
 # --- grouping -----------------------------------------------------------------------------------------------------
 
 
-def _components(names: list[str], linked) -> list[list[str]]:
-    found, left = [], set(names)
-    while left:
-        frontier, members = [min(left)], set()
-        while frontier:
-            name = frontier.pop()
-            if name in members:
-                continue
-            members.add(name)
-            frontier += [o for o in left if o not in members and linked(name, o)]
-        left -= members
-        found.append(sorted(members))
-    return sorted(found, key=lambda c: (len(c), c), reverse=True)
-
-
-def _spread_over_seeds(names: list[str], corr, size: int) -> list[list[str]]:
-    """Split a large component: far-apart seeds, then each feature to its closest seed with room."""
-    seeds = [min(names)]
-    while len(seeds) < ceil(len(names) / size):
-        rest = [n for n in names if n not in seeds]
-        seeds.append(max(rest, key=lambda n: min(1.0 - corr(n, s) for s in seeds)))
-    groups = {s: [s] for s in seeds}
-    for name in names:
-        if name not in groups:
-            near = sorted(seeds, key=lambda s: (-corr(name, s), s))
-            groups[next(s for s in near if len(groups[s]) < size)].append(name)
-    return [sorted(groups[s]) for s in sorted(groups)]
-
-
 def partition_bucket(names: list[str], value: dict[tuple[str, str], float], size: int = MAX_GROUP_SIZE) -> list[list[str]]:
-    """Groups of at most ``size``: cut the correlations at their largest gap, take components."""
-    names = sorted(names)
+    """Groups of at most ``size``: pairs join in the order of falling correlation, as long as the joint group has room.
+
+    Single linkage with bounded groups; ties go by name.  A bucket within the size is one group.
+    """
     if len(names) <= size:
-        return [names]
-
-    def corr(a, b):
-        return 1.0 if a == b else value.get((min(a, b), max(a, b)), 0.0)
-    ordered = np.sort([corr(a, b) for i, a in enumerate(names) for b in names[i + 1:]])
-    # First largest step of 1 - |rho| along ascending |rho|.
-    steps = np.diff(1.0 - ordered)
-    at = int(np.argmax(steps)) if len(steps) else 0
-    cut = float((ordered[at] + ordered[at + 1]) / 2.0) if len(steps) else float(ordered[0])
-    components = _components(names, lambda a, b: corr(a, b) >= min(max(cut, 0.0), 1.0))
-    return list(chain.from_iterable([c] if len(c) <= size else _spread_over_seeds(c, corr, size) for c in components))
+        return [sorted(names)]
+    group = {name: (name,) for name in names}
+    for a, b in sorted((pair for pair in value if group.keys() >= set(pair)), key=lambda pair: (-value[pair], pair)):
+        joint = group[a] + group[b]
+        if group[a] is not group[b] and len(joint) <= size:
+            group |= dict.fromkeys(joint, joint)
+    return sorted(map(sorted, set(group.values())))
 
 
 def group_features(features: DataFrame, vectors: DataFrame, size: int = MAX_GROUP_SIZE) -> DataFrame:

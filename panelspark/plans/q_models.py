@@ -254,10 +254,10 @@ def _(spark, d):
 
 TWO = ["quant_log_dollar_volume", "quant_momentum_21d"]
 # Ridge on two features by Cramer's rule; a missing momentum sits at its mean.
-RIDGE_SQL = DS + """, tt AS (SELECT * FROM ds WHERE dataset_split = 'train' AND y IS NOT NULL), mu AS (SELECT avg(ldv) AS ma, avg(mom) AS mb, avg(y) AS my, count(*) AS n FROM tt),
-zz AS (SELECT coalesce(ldv - ma, 0) AS a, coalesce(mom - mb, 0) AS b, y - my AS c FROM tt, mu), sd AS (SELECT sqrt(avg(a * a)) AS sa, sqrt(avg(b * b)) AS sb FROM zz),
-gm AS (SELECT sum(a * a) / (max(sa) * max(sa)) + 1 AS g11, sum(a * b) / (max(sa) * max(sb)) AS g12, sum(b * b) / (max(sb) * max(sb)) + 1 AS g22, sum(a * c) / max(sa) AS c1, sum(b * c) / max(sb) AS c2 FROM zz, sd),
-be AS (SELECT (c1 * g22 - c2 * g12) / (g11 * g22 - g12 * g12) AS b1, (c2 * g11 - c1 * g12) / (g11 * g22 - g12 * g12) AS b2 FROM gm),
+RIDGE_SQL = DS + """, tt AS MATERIALIZED (SELECT * FROM ds WHERE dataset_split = 'train' AND y IS NOT NULL), mu AS MATERIALIZED (SELECT avg(ldv) AS ma, avg(mom) AS mb, avg(y) AS my, count(*) AS n FROM tt),
+zz AS MATERIALIZED (SELECT coalesce(ldv - ma, 0) AS a, coalesce(mom - mb, 0) AS b, y - my AS c FROM tt, mu), sd AS MATERIALIZED (SELECT sqrt(avg(a * a)) AS sa, sqrt(avg(b * b)) AS sb FROM zz),
+gm AS MATERIALIZED (SELECT sum(a * a) / (max(sa) * max(sa)) + 1 AS g11, sum(a * b) / (max(sa) * max(sb)) AS g12, sum(b * b) / (max(sb) * max(sb)) + 1 AS g22, sum(a * c) / max(sa) AS c1, sum(b * c) / max(sb) AS c2 FROM zz, sd),
+be AS MATERIALIZED (SELECT (c1 * g22 - c2 * g12) / (g11 * g22 - g12 * g12) AS b1, (c2 * g11 - c1 * g12) / (g11 * g22 - g12 * g12) AS b2 FROM gm),
 pr AS (SELECT date, ticker, dataset_split, y, my + coalesce((ldv - ma) / sa, 0) * b1 + coalesce((mom - mb) / sb, 0) * b2 AS p FROM ds, mu, sd, be)"""
 
 
@@ -280,8 +280,8 @@ def _(spark, d):
 
 
 # One feature in closed form: soft threshold of the correlation moment.
-@query("r190_elastic_net", f"""WITH {DS}, tt AS (SELECT * FROM ds WHERE dataset_split = 'train' AND y IS NOT NULL), mu AS (SELECT avg(ldv) AS m, stddev_pop(ldv) AS s, avg(y) AS my FROM tt),
-  rh AS (SELECT avg((ldv - m) / s * (y - my)) AS rho FROM tt, mu), be AS (SELECT sign(rho) * greatest(abs(rho) - 0.002::DOUBLE * 0.25::DOUBLE, 0) / (1 + 0.002::DOUBLE * 0.75::DOUBLE) AS b FROM rh)
+@query("r190_elastic_net", f"""WITH {DS}, tt AS MATERIALIZED (SELECT * FROM ds WHERE dataset_split = 'train' AND y IS NOT NULL), mu AS MATERIALIZED (SELECT avg(ldv) AS m, stddev_pop(ldv) AS s, avg(y) AS my FROM tt),
+  rh AS MATERIALIZED (SELECT avg((ldv - m) / s * (y - my)) AS rho FROM tt, mu), be AS MATERIALIZED (SELECT sign(rho) * greatest(abs(rho) - 0.002::DOUBLE * 0.25::DOUBLE, 0) / (1 + 0.002::DOUBLE * 0.75::DOUBLE) AS b FROM rh)
   SELECT {D}, {r('my + b * (ldv - m) / s', 'prediction', 8)} FROM ds, mu, be""")
 def _(spark, d):
     df = dataset(spark, d)
