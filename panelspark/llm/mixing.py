@@ -70,12 +70,14 @@ def mix(docs: DataFrame, size: Column, weights: Column, *, source: str = "source
               .join(targets, F.col("_source").eqNullSafe(F.col("_s"))).select("_s", F.col("_bucket").alias("_b"), "_before",
                                                                              "_bucket_size", "source_size", "target", "_whole", "_extra"))
     placed = cut_lineage(placed, "mix_targets")
-    joined = rows.join(placed, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     inside = (F.col("_extra") > 0) & (F.col("_before") + F.col("_bucket_size") <= F.col("_extra"))
     cut = (F.col("_before") < F.col("_extra")) & ~inside
+    same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))
+    # At most one bucket of each source is cut.  The other rows move once, by a merge join at any size.
+    edges = cut_lineage(placed.where(cut), "mix_edges")
     order = (Window.partitionBy("_source", "_bucket").orderBy("_draw", "_size").rowsBetween(Window.unboundedPreceding, -1))
-    clear = joined.where(~cut).withColumn("_more", F.when(inside, 1).otherwise(0))
-    edge = (joined.where(cut).withColumn("_sum", F.col("_before") + F.coalesce(F.sum("_size").over(order), F.lit(0)))
+    clear = rows.join(placed.where(~cut).hint("merge"), same).withColumn("_more", F.when(inside, 1).otherwise(0))
+    edge = (rows.join(edges, same).withColumn("_sum", F.col("_before") + F.coalesce(F.sum("_size").over(order), F.lit(0)))
             .withColumn("_more", F.when(2 * F.col("_sum") + F.col("_size") <= 2 * F.col("_extra"), 1).otherwise(0)).drop("_sum"))
     repeats = (F.col("_whole") + F.col("_more")).cast("long")
     return clear.unionByName(edge).select("_row.*", F.col("_size").alias("size"), "source_size", "target", repeats.alias("repeats"),
