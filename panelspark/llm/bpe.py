@@ -15,7 +15,7 @@ from panelspark.llm.common import column_like, fixed_schema
 # The public pre-tokeniser pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of which a task remembers the ids; beyond that it starts over.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -49,8 +49,7 @@ class Vocabulary:
         self.joined = {token[i:i + 2] for token in self.ids for i in range(len(token) - 1)}
         self.pieces = regex.compile(PIECES)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.words: dict[str, list[int]] = {}
-        self.fragments: dict[bytes, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def cut(self, word: bytes) -> list[bytes]:
         """``word`` in fragments that no token reaches across."""
@@ -105,20 +104,10 @@ class Vocabulary:
                 heappush(heap, (r, h, parts[h], parts[i]))
         return [self.ids[p] for p, ok in zip(parts, alive) if ok]
 
-    def fragment(self, fragment: bytes) -> list[int]:
-        if len(fragment) > 64:
-            return self.merge_long(fragment)
-        found = self.fragments.get(fragment)
-        if found is None:
-            if len(self.fragments) >= REMEMBERED:
-                self.fragments.clear()
-            found = self.fragments[fragment] = self.merge(fragment)
-        return found
-
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         found = self.words.get(word)
         if found is None:
-            found = [i for part in self.cut(word.encode()) for i in self.fragment(part)]
+            found = tuple(i for part in self.cut(word.encode()) for i in (self.merge(part) if len(part) <= 64 else self.merge_long(part)))
             if len(word) <= 64:
                 if len(self.words) >= REMEMBERED:
                     self.words.clear()
@@ -151,7 +140,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", digests: boo
 
     ``vocabulary`` is the content of a byte-level BPE file (1.6 MB; it is part of each task's closure).  Whole texts are encoded: the
     pre-tokeniser's words are cut between byte pairs that occur inside no token, which no merge can cross, the
-    fragments are encoded by themselves, once per task, and their ids are put in a row.  With
+    fragments are encoded by themselves and their ids are put in a row; a task remembers recent words.  With
     ``digests``, ``ids_sha256`` is that of the decimal ids joined by commas; with ``round_trip`` the ids are decoded and
     ``decoded_sha256`` is that of the text.  NULL is the empty text, with no ids.  One row in, one row out, no shuffle;
     input columns named as a result column are replaced.

@@ -17,7 +17,7 @@ __all__ = ["CHUNK_BYTES", "WORD", "chunks", "column_like", "cut_lineage", "docum
 #: A word: anything but the six white-space bytes of ASCII.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that a task handles at once; a longer single text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

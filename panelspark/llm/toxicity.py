@@ -19,9 +19,9 @@ ORDERS, BITS = (3, 4, 5), 18
 #: Characters whose n-grams are held at once.
 PIECE = 1 << 18
 #: Labelled rows of each class that the model is fitted on, the first by a hash of their key; the only sample taken.
-SAMPLE_PER_CLASS = 8192
+SAMPLE_PER_CLASS = 4096
 #: N-gram buckets that enter the model, those with the strongest two-class difference.
-FEATURES = 8192
+FEATURES = 4096
 
 
 def _grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     width = len(buckets)
     # At most two samples of rows pass here, as sparse vectors.
     vector = F.udf(lambda places: Vectors.sparse(width, [int(i) for i in places], [float(scale[i]) for i in places]), VectorUDT())
-    rows = cut_lineage(sample.mapInArrow(_selected(buckets), "toxic int, weight double, places array<int>").select(F.col("toxic").cast("double").alias("label"), "weight", vector("places").alias("features")), "toxic_features")
+    places = cut_lineage(sample.mapInArrow(_selected(buckets), "toxic int, weight double, places array<int>"), "toxic_places")
+    rows = cut_lineage(places.select(F.col("toxic").cast("double").alias("label"), "weight", vector("places").alias("features")), "toxic_features")
     model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.002, maxIter=40, standardization=False, aggregationDepth=2).fit(rows)
     weights = np.zeros(1 << BITS)
     weights[buckets] = model.coefficients.toArray() * scale
