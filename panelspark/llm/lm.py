@@ -2,7 +2,7 @@
 
 Level 1 has the words in the order of their hashes; a word's rank is its id.  Level 2 has, for each context word, the ids of the
 words that follow it.  Both levels are files of consecutive id ranges in the shared folder, which every task maps.
-The order is two: counts of longer n-grams would not fit the disk budget of the check (see README).
+The order is two: a third level would go beyond the CPU budget of the check (see README).
 """
 
 from __future__ import annotations

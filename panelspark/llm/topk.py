@@ -228,7 +228,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "ve
                 edge = np.flatnonzero(np.diff(q, prepend=-1))
                 rank = np.arange(len(q)) - np.repeat(edge, np.diff(np.r_[edge, len(q)])) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(name[q]), pa.array(rank.astype(np.int32)), pa.array(found), pa.array(score)], schema=fixed_schema(RESULT))
-    dealt = cut_lineage(place(asked, space, queries=True), "placed_queries").repartitionByRange("pivot", "distance", "_key")
+    near = cut_lineage(place(asked, space, queries=True), "placed_queries")
+    # Queries are few bytes and much work: their number, not their size, decides the number of tasks.
+    tasks = max(1, -(-near.count() // QUERIES))
+    dealt = near.repartitionByRange(tasks, "pivot", "distance", "_key")
     return dealt.sortWithinPartitions("pivot", "distance", "_key").mapInArrow(run, RESULT)
 
 
