@@ -1,7 +1,7 @@
 """The corpus pipeline: drop toxic documents, delete repeated lines, keep one near-copy, mix the sources, encode.
 
 Each stage takes what the one before it kept, written as a table and read again.  All but the last return the columns of
-``documents``.
+``documents``.  The stages that run Python bound the session's Arrow batches by bytes.
 """
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.llm import bpe, lines, mixing, simhash, toxicity
-from panelspark.llm.common import cut_lineage, table, word_count
+from panelspark.llm.common import bounded_batches, cut_lineage, table, word_count
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.3 stay; labels of the held-out quarter of documents are not learned from."""
+    bounded_batches(spark)
     known = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out("doc_id"))
     return toxicity.classify(docs, known).where("predicted = 0").select(docs.columns)
 
@@ -25,6 +26,7 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-copies the document of least id stays; fingerprints of five-word shingles."""
+    bounded_batches(spark)
     return simhash.keep_one(docs, words=5)
 
 
@@ -35,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document instead of its text."""
+    bounded_batches(spark)
     return bpe.encode(docs, bpe.default_vocabulary(spark))
 
 

@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage, scratch_folder
 
-__all__ = ["CHUNK_BYTES", "WORD", "chunks", "column_like", "cut_lineage", "documents", "fixed_schema", "lower_ascii", "mix64",
+__all__ = ["BATCH_BYTES", "CHUNK_BYTES", "WORD", "bounded_batches", "chunks", "column_like", "cut_lineage", "documents", "fixed_schema", "lower_ascii", "mix64",
            "scratch_folder", "table", "utf8", "word_count", "words_in"]
 
 #: A word: anything but the six white-space bytes of ASCII.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that a task handles at once; a longer single text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes that Spark sends to a Python worker at once, in the JVM and in Python; a longer single row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes (by default only their rows are), unless they already are tighter."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
