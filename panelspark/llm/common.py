@@ -26,7 +26,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes (by default only their rows are), unless they already are tighter."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
-    if not 0 < now <= BATCH_BYTES:
+    if now > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 

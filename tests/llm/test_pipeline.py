@@ -1,6 +1,6 @@
 import corpus_pipeline
 from panelspark.llm import bpe, lines, mixing, simhash, toxicity
-from panelspark.llm.common import word_count
+from panelspark.llm.common import BATCH_BYTES, bounded_batches, word_count
 from tests.llm.data import awkward, frame, multiset
 from tests.llm.test_lines import brute as line_brute
 from tests.llm.test_simhash import fingerprint, groups
@@ -48,3 +48,15 @@ def test_every_stage_takes_awkward_and_empty_tables(spark, tmp_path):
             assert out.columns == docs.columns
             assert out.count() <= 2 * len(rows)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_batches_are_bounded_unless_tighter_already(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for start, want in ((str(64 << 20), BATCH_BYTES), ("1000", 1000)):
+            spark.conf.set(name, start)
+            bounded_batches(spark)
+            assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() == want
+    finally:
+        spark.conf.set(name, before)
