@@ -10,6 +10,8 @@ cheaper and used instead; both give the same result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +29,28 @@ def join_back(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left
     return df.join(F.broadcast(small) if keys == [DATE] else small, keys, how)
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL, as in a window partition; still an equi-join."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    equal = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, equal, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -> DataFrame:
     grouped = df.groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()])
     return join_back(df, grouped, keys)
 
 
 def monotone_bin(c: Column) -> Column:
-    """Integer that never decreases as ``c`` grows; ~0.4 % wide bins on a log scale."""
+    """Integer that never decreases as ``c`` grows in sort order; ~0.4 % wide bins on a log scale.
+
+    Infinities lie beyond all numbers and NaN above them; NULL has no bin.
+    """
+    c = c.cast("double")
     magnitude = F.floor(F.log(F.abs(c)) * BINS_PER_E_FOLD) + 800 * BINS_PER_E_FOLD
-    return F.when(c > 0, magnitude).when(c < 0, -magnitude).otherwise(F.lit(0)).cast("bigint")
+    finite = F.when(c > 0, magnitude).when(c < 0, -magnitude).when(c == 0, F.lit(0))
+    return (F.when(F.isnan(c), F.lit(1 << 41)).when(c == float("inf"), F.lit(1 << 40)).when(c == float("-inf"), F.lit(-(1 << 40)))
+            .otherwise(finite).cast("bigint"))
 
 
 def cumulative_by_value(df: DataFrame, by: list[str], value: str, measures: dict[str, Column],
@@ -63,7 +78,7 @@ def cumulative_by_value(df: DataFrame, by: list[str], value: str, measures: dict
         *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_{m}_bin") for m in measures],
         *[F.sum(m).over(group).alias(f"{m}_total") for m in measures])
     inside = Window.partitionBy(*by, "_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (values.join(bins, [*by, "_bin"])
+    return (join_groups(values, bins, [*by, "_bin"])
             .withColumns({f"{m}_before": F.col(f"_{m}_bin") + F.coalesce(F.sum(m).over(inside), F.lit(0))
                           for m in measures})
             .drop("_bin", *[f"_{m}_bin" for m in measures]))
@@ -80,7 +95,11 @@ def average_rank(c: Column, by: list) -> Column:
 def with_group_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], pct: bool = True,
                      split: bool | None = None, row_key: tuple[str, ...] = KEY) -> DataFrame:
     """Add ``out`` = average-tie rank of column ``source`` inside the group, over the number of
-    non-missing values when ``pct``.  ``ranks`` maps out -> source."""
+    non-missing values when ``pct``.  ``ranks`` maps out -> source.
+
+    Rows with a NULL in ``by`` are a group like any other.  Where ``row_key`` repeats, every row has the
+    rank of its own values, because a rank follows from group and value.
+    """
     if split is None:
         split = not fits_one_task(df)
     if not split:
@@ -92,11 +111,15 @@ def with_group_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], pct: b
         if len(df.columns) <= len(needed) + WIDE:
             return df.withColumns(out)
         # Sort narrow rows once per ranked column, then attach the ranks to the wide ones.
-        return df.join(df.select(*needed).withColumns(out).select(*row_key, *out), list(row_key), "left")
+        named = list(dict.fromkeys([*row_key, *by]))
+        ranked = df.select(*needed).withColumns(out).select(*named, row_values(ranks).alias("_values"), *out)
+        return join_groups(df.withColumn("_values", row_values(ranks)), ranked.dropDuplicates([*named, "_values"]), [*named, "_values"], "left").drop("_values")
     # All ranked columns go through one long pipeline: a fixed number of shuffles for any width.
     keys = list(dict.fromkeys([*row_key, *by]))
     pairs = F.array(*[F.struct(F.lit(name).alias("name"), F.col(source).cast("double").alias("x"))
                       for name, source in ranks.items()])
+    df = df.withColumn("_values", row_values(ranks))
+    keys.append("_values")
     long = (df.select(*keys, F.explode(pairs).alias("_p"))
             .select(*keys, F.col("_p.name").alias("_name"), F.col("_p.x").alias("_x"))
             .where(F.col("_x").isNotNull()))
@@ -105,10 +128,15 @@ def with_group_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], pct: b
     rank = F.col("_n_before") + (F.col("_n") + 1) / 2.0
     ranked = cumulative.select(*by, "_name", "_x",
                                (rank / F.col("_n_total") if pct else rank).alias("_rank"))
-    wide = (long.join(ranked, [*by, "_name", "_x"])
-            .groupBy(*row_key).agg(*[F.max(F.when(F.col("_name") == name, F.col("_rank"))).alias(name)
+    wide = (join_groups(long, ranked, [*by, "_name", "_x"])
+            .groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_rank"))).alias(name)
                                      for name in ranks]))
-    return df.join(wide, list(row_key), "left")
+    return join_groups(df, wide, keys, "left").drop("_values")
+
+
+def row_values(ranks: dict[str, str]) -> Column:
+    """Tells rows with one key but different ranked values apart."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ranks.values()])
 
 
 def group_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float],
@@ -157,7 +185,7 @@ def with_top_bottom(df: DataFrame, by: list[str], value: str, fraction: float, t
                     split: bool | None = None) -> DataFrame:
     """Add ``is_top`` / ``is_bottom``: the max(1, ceil(rows*fraction)) rows with the largest /
     smallest value of the group.  Equal values are taken in ``tie`` order on both sides, missing
-    ones last."""
+    ones last.  Rows with a NULL in ``by`` are a group like any other."""
     if split is None:
         split = not fits_one_task(df)
     take = F.greatest(F.lit(1), F.ceil(F.col("_rows") * F.lit(float(fraction))))
@@ -173,10 +201,10 @@ def with_top_bottom(df: DataFrame, by: list[str], value: str, fraction: float, t
     sizes = df.groupBy(*by).agg(F.count("*").alias("_rows"), F.count(value).alias("_known"))
     c = cumulative_by_value(df, by, value, {"_n": F.count(F.lit(1))}, split=True)
     above = F.col("_n_total") - F.col("_n_before") - F.col("_n")
-    c = join_back(c, sizes, by).select(*by, value, (take - above).alias("_top_left"), (take - F.col("_n_before")).alias("_low_left"), F.col("_n"))
-    known = df.where(F.col(value).isNotNull()).join(c, [*by, value])
-    missing = join_back(df.where(F.col(value).isNull()), sizes.select(
-        *by, (take - F.col("_known")).alias("_top_left"), (take - F.col("_known")).alias("_low_left"), (F.col("_rows") - F.col("_known")).alias("_n")), by)
+    c = join_groups(c, sizes, by).select(*by, value, (take - above).alias("_top_left"), (take - F.col("_n_before")).alias("_low_left"), F.col("_n"))
+    known = df.where(F.col(value).isNotNull()).transform(join_groups, c, [*by, value])
+    missing = join_groups(df.where(F.col(value).isNull()), sizes.select(
+        *by, (take - F.col("_known")).alias("_top_left"), (take - F.col("_known")).alias("_low_left"), (F.col("_rows") - F.col("_known")).alias("_n")), by, "left")
     joined = known.unionByName(missing)
     tied_out = (F.col("_top_left") < F.col("_n")) & (F.col("_top_left") > 0)
     tied_low = (F.col("_low_left") < F.col("_n")) & (F.col("_low_left") > 0)
@@ -200,14 +228,14 @@ def with_text_position(df: DataFrame, by: list[str], text: str, out: str, prefix
                              lambda i: F.substring(F.col("_low"), F.lit(1), i) == F.substring(F.col("_high"), F.lit(1), i)))
     bounds = df.groupBy(*by).agg(F.min(text).alias("_low"), F.max(text).alias("_high"))
     skip = F.when(F.col("_low") == F.col("_high"), 0).otherwise(shared).alias("_skip")
-    marked = join_back(df, bounds.select(*by, skip), by) if by else df.withColumn("_skip", bounds.select(skip).scalar())
+    marked = join_groups(df, bounds.select(*by, skip), by) if by else df.withColumn("_skip", bounds.select(skip).scalar())
     marked = marked.withColumn("_prefix", F.substring(F.col(text), F.lit(1), F.col("_skip") + prefix)).drop("_skip")
     counts = marked.groupBy(*by, "_prefix").agg(F.count("*").alias("_count"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     earlier = group.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_prefix", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy(*by, "_prefix").orderBy(text)
-    return (marked.join(offsets, [*by, "_prefix"])
+    return (join_groups(marked, offsets, [*by, "_prefix"])
             .withColumn(out, F.row_number().over(inside) + F.col("_shift")).drop("_prefix", "_shift"))
 
 
@@ -216,15 +244,16 @@ def with_global_position(df: DataFrame, keys: list[tuple[str, bool]], out: str)
     everything in one task.
 
     Rows are split by a monotone bin of the first (numeric) key, numbered inside the bin and
-    shifted by the count of all earlier bins.  ``keys`` are (column, ascending).
+    shifted by the count of all earlier bins.  ``keys`` are (column, ascending); NULL and NaN stand
+    where a sort puts them.
     """
     name, ascending = keys[0]
-    marked = df.withColumn("_bin", monotone_bin(F.col(name).cast("double")))
+    marked = df.withColumn("_bin", monotone_bin(F.col(name)))
     order = [F.col(c).asc() if up else F.col(c).desc() for c, up in keys]
     bin_order = F.col("_bin").asc() if ascending else F.col("_bin").desc()
     earlier = Window.partitionBy(F.lit(0)).orderBy(bin_order).rowsBetween(Window.unboundedPreceding, -1)
     counts = marked.groupBy("_bin").agg(F.count("*").alias("_count"))
     shifts = counts.select("_bin", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy("_bin").orderBy(*order)
-    return (marked.join(shifts, "_bin").withColumn(out, F.row_number().over(inside) + F.col("_shift"))
+    return (join_groups(marked, shifts, ["_bin"]).withColumn(out, F.row_number().over(inside) + F.col("_shift"))
             .drop("_bin", "_shift"))

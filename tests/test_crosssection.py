@@ -64,6 +64,37 @@ def test_missing_values_fill_up_the_top(spark, split):
     assert sorted(got["ticker"]) == ["K0", "K1", "K3"]
 
 
+AWKWARD = [(None, "A", 1.0), (None, "B", 1.0), (None, None, -2.0), ("d", "A", 1.0), ("d", "A", 3.0), ("d", "A", 3.0), ("d", "B", 2.0), ("d", None, None), ("d", None, 0.5)]
+
+
+@pytest.mark.parametrize("plan", ["window", "narrow window", "split"])
+def test_ranks_with_null_and_repeated_keys(spark, monkeypatch, plan):
+    if plan == "narrow window":
+        monkeypatch.setattr(X, "WIDE", -1)
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(AWKWARD)], "date string, ticker string, x double, i int")
+    got = X.with_group_ranks(df, ["date"], {"r": "x"}, pct=False, split=plan == "split")
+    assert got.columns == ["date", "ticker", "x", "i", "r"]
+    assert {x["i"]: x["r"] for x in got.collect()} == {0: 2.5, 1: 2.5, 2: 1.0, 3: 2.0, 4: 4.5, 5: 4.5, 6: 3.0, 7: None, 8: 1.0}
+    assert got.count() == len(AWKWARD)
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_top_bottom_with_null_groups_and_ties(spark, split):
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(AWKWARD)], "date string, ticker string, x double, i int")
+    got = X.with_top_bottom(df, ["date"], "x", 0.5, split=split).collect()
+    assert len(got) == len(AWKWARD)
+    assert sorted(x["i"] for x in got if x["is_top"]) == [0, 1, 4, 5, 6]
+    assert sorted(x["i"] for x in got if x["is_bottom"]) == [0, 2, 3, 6, 8]
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_global_position_follows_a_sort(spark, up):
+    values = [3.0, None, float("nan"), -1.0, 0.0, float("inf"), None, 1e300, float("-inf"), 1.0]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x double, i int")
+    want = [x["i"] for x in df.orderBy(F.col("x").asc() if up else F.col("x").desc(), "i").collect()]
+    assert [x["i"] for x in X.with_global_position(df, [("x", up), ("i", True)], "p").orderBy("p").collect()] == want
+
+
 def test_cumulative_over_everything_uses_no_global_sort(spark, skewed):
     c = X.cumulative_by_value(load(spark, skewed), [], "x", {"n": F.count("*")}).toPandas().sort_values("x")
     assert (c["n_before"].to_numpy() == np.concatenate([[0], c["n"].cumsum().to_numpy()[:-1]])).all()
