@@ -209,3 +209,13 @@ def test_uninformative_columns(spark):
     data = [(i, 5, "same" if i else "other", 0 if i else 1, None if i else 2.0, None, i % 3, "only") for i in range(300)]
     df = spark.createDataFrame(data, "row int, fixed int, dominated string, indicator int, holes double, empty double, spread int, text string")
     assert set(CL.uninformative_columns(df, df.columns)) == {"fixed", "dominated", "holes", "empty", "text"}
+
+
+def test_open_intervals_are_clipped_to_the_sessions(spark):
+    days = ["2020-01-02", "2020-01-03", "2020-01-06"]
+    sessions = spark.createDataFrame([(d,) for d in days], "date string").select(F.col("date").cast("date"))
+    spells = spark.createDataFrame([("A", "0001-01-01", "9999-12-31"), ("B", "2020-01-03", "9999-12-31"), ("C", "2021-01-01", "2022-01-01"), ("D", None, "2020-01-06")],
+                                   "ticker string, f string, t string").select("ticker", F.col("f").cast("date").alias("start_date"), F.col("t").cast("date").alias("end_date"))
+    got = sorted((x["ticker"], str(x["date"])) for x in J.expand_intervals(spells, sessions).collect())
+    assert got == [("A", d) for d in days] + [("B", d) for d in days[1:]]
+    assert J.expand_intervals(spells, sessions.limit(0)).count() == 0
