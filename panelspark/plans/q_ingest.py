@@ -581,19 +581,19 @@ def _(spark, d):
     return out(SC.macro_panel(obs, sessions, FREQ), NAMES, keep=("date",))
 
 
-@query("r142_sentiment_panel", f"WITH {ALIGN_SQL} {_wide_sql({'error': None, 'purchase': None})}")
+@query("r142_sentiment_panel", f"WITH {ALIGN_SQL} {_wide_sql(dict.fromkeys(FREQ))}")
 def _(spark, d):
     obs, sessions = _obs(spark, d)
-    return out(SC.sentiment_panel(obs.where(F.col("series").isin("error", "purchase")), sessions, {"error": SC.SURVEY_LAG, "purchase": SC.RISK_INDEX_LAG}),
-               ["error", "purchase"], keep=("date",))
+    lags = {"click": 1, "error": SC.SURVEY_LAG, "purchase": SC.RISK_INDEX_LAG, "signup": 66, "view": 1}
+    return out(SC.sentiment_panel(obs, sessions, lags), list(FREQ), keep=("date",))
 
 
-@query("r143_cross_asset_pivot", f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, {r("avg(CASE WHEN event_type = 'click' THEN value END)", 'xa_click')}, {r("avg(CASE WHEN event_type = 'view' THEN value END)", 'xa_gold')} FROM events
-  WHERE event_type IN ('click', 'view') GROUP BY CAST(ts AS DATE)""")
+@query("r143_cross_asset_pivot", f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, {r("avg(CASE WHEN event_type = 'click' THEN value END)", 'xa_click')}, {r("avg(CASE WHEN event_type = 'view' THEN value END)", 'xa_gold')},
+  {", ".join(r(f"avg(CASE WHEN event_type = '{x}' THEN value END)", f'xa_{x}') for x in ('error', 'purchase', 'signup'))} FROM events GROUP BY CAST(ts AS DATE)""")
 def _(spark, d):
-    ev = table(spark, d, "events").where(F.col("event_type").isin("click", "view")).select(
-        F.to_date("ts").alias(DATE), F.when(F.col("event_type") == "view", "GC=F").otherwise("^CLICK").alias(TICKER), F.col("value").alias("adj_close"))
-    return out(SC.pivot_cross_assets(ev, ["^CLICK", "GC=F"]), ["xa_click", "xa_gold"], keep=("date",))
+    symbol = F.when(F.col("event_type") == "view", "GC=F").otherwise(F.concat(F.lit("^"), F.upper("event_type")))
+    ev = table(spark, d, "events").select(F.to_date("ts").alias(DATE), symbol.alias(TICKER), F.col("value").alias("adj_close"))
+    return out(SC.pivot_cross_assets(ev, ["^CLICK", "^ERROR", "^PURCHASE", "^SIGNUP", "GC=F"]), ["xa_click", "xa_gold", "xa_error", "xa_purchase", "xa_signup"], keep=("date",))
 
 
 @query("r144_log_return_columns", f"""WITH {OHLC_SQL}, q AS (SELECT *, CASE WHEN close > 0 THEN ln(close) END AS lc, ln(open) AS lo FROM raw) SELECT {D}, {r('lo - lag(lo) OVER w', 'open_log_return')}, {r('lc - lag(lc) OVER w', 'close_log_return')} FROM q {WINDOWS}""")
@@ -631,14 +631,14 @@ def _(spark, d):
 
 
 # Month snapshots: comma list of the (25 at most) nations whose customers ordered in the month's first week.
-SNAP_SQL = """sn AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS date, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE day(o_orderdate) <= 3 AND o_orderstatus = 'F'),
+SNAP_SQL = """sn AS (SELECT DISTINCT o_orderdate::DATE AS date, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 sd AS (SELECT date, coalesce(lead(date) OVER (ORDER BY date) - 1, DATE '2001-12-31') AS e FROM (SELECT DISTINCT date FROM sn))"""
 
 
 @query("r075_snapshots_to_intervals", f"WITH {SNAP_SQL} SELECT n_name AS ticker, CAST(date AS VARCHAR) AS start_date, CAST(e AS VARCHAR) AS end_date FROM sn JOIN sd USING (date)")
 def _(spark, d):
-    o = table(spark, d, "orders").where((F.dayofmonth("o_orderdate") <= 3) & (F.col("o_orderstatus") == "F"))
+    o = table(spark, d, "orders")
     c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    seen = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.trunc("o_orderdate", "MM").alias(DATE), "n_name").distinct()
+    seen = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.to_date("o_orderdate").alias(DATE), "n_name").distinct()
     snapshots = seen.groupBy(DATE).agg(F.array_join(F.sort_array(F.collect_set("n_name")), ", ").alias("tickers"))
     return out(J.snapshots_to_intervals(snapshots, F.lit("2001-12-31").cast("date")), keep=("ticker", "start_date", "end_date"))

@@ -414,12 +414,13 @@ def _(spark, d):
 
 
 @query("r235_statistics_functions", f"""WITH {DS} SELECT {D}, {r("CASE WHEN ldv < 8 THEN 0 WHEN ldv >= 14 THEN 13 ELSE CAST(floor((ldv - 8) / 6 * 12) AS BIGINT) + 1 END", 'bucket')}, {r('CASE WHEN ldv <= 9 THEN 1 WHEN ldv >= 13 THEN 3 WHEN ldv <= 11 THEN 1 + (ldv - 9) / 2 ELSE 2 + (ldv - 11) / 2 END', 'interpolated')},
-  {r('ldv / 30', 'cdf_of_ppf')} FROM ds WHERE ldv BETWEEN 1 AND 29""")
+  {r('CASE WHEN ldv IS NOT NULL THEN least(greatest(ldv, 1), 29) / 30 END', 'cdf_of_ppf')} FROM ds""")
 def _(spark, d):
     from panelspark.functions.scalar import piecewise_linear
     x = F.col("quant_log_dollar_volume")
-    df = dataset(spark, d).where(x.between(1, 29)).withColumns({"bucket": F.width_bucket(x, F.lit(8.0), F.lit(14.0), F.lit(12)), "interpolated": piecewise_linear(x, [9.0, 11.0, 13.0], [1.0, 2.0, 3.0]),
-                                                              "cdf_of_ppf": normal_cdf(normal_ppf(x / 30))})
+    inside = F.least(F.greatest(F.coalesce(x, F.lit(1.0)), F.lit(1.0)), F.lit(29.0))
+    df = dataset(spark, d).withColumns({"bucket": F.width_bucket(x, F.lit(8.0), F.lit(14.0), F.lit(12)), "interpolated": piecewise_linear(x, [9.0, 11.0, 13.0], [1.0, 2.0, 3.0]),
+                                                              "cdf_of_ppf": F.when(x.isNotNull(), normal_cdf(normal_ppf(inside / 30)))})
     return out(df, ["bucket", "interpolated", "cdf_of_ppf"])
 
 

@@ -234,18 +234,18 @@ def _(spark, d):
     return out(df, {"sharpe_ratio": 6, "probabilistic_sharpe_ratio": 6, "deflated_sharpe_ratio": 6, "minimum_track_record_length": 5}, keep=(K.SECTOR,))
 
 
-# Trial ledger: trial = sector number, folds = calendar years 1995-2000, score = mean label of the year.
-LEDGER_SQL = SIG + """, tr AS (SELECT dense_rank() OVER (ORDER BY sector) - 1 AS trial_number, year(date) - 1995 AS f, y FROM sig WHERE y IS NOT NULL AND year(date) <= 2000),
+# Trial ledger: trial = sector number, folds = calendar years 1995 to 1999 and the years from 2000 on, score = mean label of the fold.
+LEDGER_SQL = SIG + """, tr AS (SELECT dense_rank() OVER (ORDER BY sector) - 1 AS trial_number, least(year(date) - 1995, 5) AS f, y FROM sig WHERE y IS NOT NULL),
 tl AS (SELECT trial_number, f, avg(y) AS s FROM tr GROUP BY 1, 2)"""
 
 
 def _trials(spark, d):
     """Long scores (trial_number, fold, score) and their wide form."""
-    df = prediction_panel(spark, d).where(F.col(K.WEEK_NET).isNotNull() & (F.year(DATE) <= 2000))
+    df = prediction_panel(spark, d).where(F.col(K.WEEK_NET).isNotNull())
     # The 25 sectors at most.
     from pyspark.sql import Window
     numbers = df.select(K.SECTOR).distinct().select(K.SECTOR, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(K.SECTOR)) - 1).alias("trial_number"))
-    scored = df.join(F.broadcast(numbers), K.SECTOR).groupBy("trial_number", (F.year(DATE) - 1995).alias("fold")).agg(F.avg(K.WEEK_NET).alias("score"))
+    scored = df.join(F.broadcast(numbers), K.SECTOR).groupBy("trial_number", F.least(F.year(DATE) - 1995, F.lit(5)).alias("fold")).agg(F.avg(K.WEEK_NET).alias("score"))
     wide = scored.groupBy("trial_number").pivot("fold", list(range(6))).agg(F.first("score"))
     return wide.withColumnsRenamed({str(i): f"fold_{i}_daily_rank_ic" for i in range(6)})
 
@@ -299,14 +299,14 @@ def _(spark, d):
     return out(df, {"turnover": 2, "average_value": 3}, keep=("account", "month", "orders"))
 
 
-# Trades: every bar with volume above 40 opens a trade held five sessions, notional 1000 x volume, label / 100 realised.
+# Trades: every bar with a label opens a trade held five sessions, notional 1000 x volume, label / 100 realised.
 TRADES = LAB + """, ses AS (SELECT date, lead(date, 5) OVER (ORDER BY date) AS ex FROM (SELECT DISTINCT date FROM bars)),
-tr AS (SELECT bars.ticker, bars.date AS entry, ex, v * 1000 AS notional, week / 100 AS rl, v * 0.5::DOUBLE AS ec, v * 0.25::DOUBLE AS xc FROM bars JOIN lab USING (date, ticker) JOIN ses USING (date) WHERE v > 40 AND week IS NOT NULL),
+tr AS (SELECT bars.ticker, bars.date AS entry, ex, v * 1000 AS notional, week / 100 AS rl, v * 0.5::DOUBLE AS ec, v * 0.25::DOUBLE AS xc FROM bars JOIN lab USING (date, ticker) JOIN ses USING (date) WHERE week IS NOT NULL),
 cl AS (SELECT *, exp(rl) - 1 AS g, notional * (exp(rl) - 1) AS gp FROM tr)"""
 
 
 def _open_trades(spark, d):
-    df = L.forward_returns(bars(spark, d)).where((F.col(VOLUME) > 40) & F.col(K.WEEK_NET).isNotNull())
+    df = L.forward_returns(bars(spark, d)).where(F.col(K.WEEK_NET).isNotNull())
     v = F.col(VOLUME)
     return df.select(TICKER, F.col(DATE).alias("entry_date"), (v * 1000).alias("notional"), (F.col(K.WEEK_NET) / 100).alias("realized_log_return"),
                      (v * 0.5).alias("entry_cost"), (v * 0.25).alias("exit_cost"))
