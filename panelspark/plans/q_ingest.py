@@ -630,7 +630,7 @@ def _(spark, d):
     return out(J.merge_intervals(_spells(spark, d)), keep=("ticker", "start_date", "end_date"))
 
 
-# Month snapshots: comma list of the (25 at most) nations whose customers ordered in the month's first week.
+# Day snapshots: comma list of the (25 at most) nations whose customers ordered that day.
 SNAP_SQL = """sn AS (SELECT DISTINCT o_orderdate::DATE AS date, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 sd AS (SELECT date, coalesce(lead(date) OVER (ORDER BY date) - 1, DATE '2001-12-31') AS e FROM (SELECT DISTINCT date FROM sn))"""
 
