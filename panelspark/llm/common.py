@@ -127,6 +127,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out) if n else out
 
 
+def powers_of_base(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base, and of its inverse, for hashes of spans from one running sum."""
+    return _powers(BASE, n), _powers(INVERSE, n)
+
+
 def word_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every word: differences of one running polynomial sum, so no word becomes an object."""
     letters = mix64(np.arange(1, 257, dtype=np.uint64))
