@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage, scratch_folder
 
-__all__ = ["BATCH_BYTES", "CHUNK_BYTES", "WORD", "bounded_batches", "chunks", "column_like", "cut_lineage", "documents", "fixed_schema", "lower_ascii", "mix64",
+__all__ = ["BATCH_BYTES", "CHUNK_BYTES", "WORD", "bounded_batches", "chunks", "column_like", "cut_lineage", "documents", "fixed_schema", "kept_in_worker", "lower_ascii", "mix64",
            "scratch_folder", "table", "utf8", "word_count", "words_in"]
 
 #: A word: anything but the six white-space bytes of ASCII.
@@ -144,3 +147,11 @@ def word_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
 def column_like(df: DataFrame, name: str) -> Column:
     """A column by its exact name, dots and spaces included."""
     return df["`" + name.replace("`", "``") + "`"]
+
+
+def kept_in_worker(key: object, make: Callable[[], Any]) -> Any:
+    """An object that a Python process builds once and keeps for later tasks, whose functions are unpickled anew."""
+    kept = vars(sys.modules.setdefault("panelspark_kept", ModuleType("panelspark_kept"))).setdefault("objects", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
