@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, lines, lm, media, mixing, passages, pieces, sharding, simhash, topk, toxicity
+from panelspark.llm import bpe, lines, lm, media, mixing, passages, pieces, sharding, simhash, spelling, topk, toxicity
 from panelspark.llm.common import cut_lineage, documents, scratch_folder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,11 @@ def op9_passages(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(documents(spark, folder, "doc_id", "text"), pieces.default_model(spark), digests=True, round_trip=True)
+
+
+@query
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, folder, "doc_id", "text"))
+
+
+ORACLES["op13_spelling"] = spelling.oracle()
