@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, lines, lm, media, mixing, passages, pieces, sharding, simhash, spelling, topk, toxicity
+from panelspark.llm import bpe, lines, lm, media, mixing, negatives, passages, pieces, sharding, simhash, spelling, topk, toxicity
 from panelspark.llm.common import cut_lineage, documents, scratch_folder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,16 @@ def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(documents(spark, folder, "doc_id", "text"), pieces.default_model(spark), digests=True, round_trip=True)
 
 
+@query
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    noisy = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(noisy, noisy.where("vec_id % 50 = 0"))
+
+
+ORACLES["op12_negatives"] = negatives.ORACLE
+
+
 @query
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, folder, "doc_id", "text"))
