@@ -128,7 +128,12 @@ class Mining:
     def find_positives(self, block: Block) -> None:
         for at in self.walk(block):
             best = self.near[at]
-            rows = np.flatnonzero((block.label == self.label[at]) & (block.key != self.key[at]) & (block.high[at] >= best.least))
+            rows = np.flatnonzero((block.label == self.label[at]) & (block.key != self.key[at]))
+            least = best.least
+            if len(rows) > self.positives:
+                # So many rows surely reach the last of the largest lower bounds.
+                least = max(least, np.partition(block.low[at, rows], -self.positives)[-self.positives])
+            rows = rows[block.high[at, rows] >= least]
             if len(rows):
                 best.offer(self.look(block, at, rows), block.key[rows])
 

@@ -9,12 +9,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import column_like, cut_lineage, fixed_schema
+from panelspark.llm.common import column_like, cut_lineage, fixed_schema, mix64, utf8
 
 #: Code points and occurrences that a word needs.
 SHORTEST, OCCURRENCES = 7, 2
@@ -26,8 +28,10 @@ RATIO = 10
 SHORT, LONG, COMMON = 2, 3, 0.001
 #: Grams in more than this share of the words have a place of their own in the order of lists, the others come before them.
 ORDERED = 0.0001
-#: A list of more words is split by a further shared gram, at most until so many grams are shared.
-LIST, SHARED = 128, 3
+#: Lists are of words that share so many grams; a list of more than LIST words is split by a further one, at most until MOST are shared.
+SHARED, MOST, LIST = 2, 3, 128
+#: Letters that are compared at once.
+COMPARED = 1 << 23
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 1 << 18
 LETTERS = "a-zÀ-ÿ"
@@ -137,7 +141,7 @@ DECOMPOSED = "word string, n long, kind string, gram array<string>, place array<
 def decomposed(words: DataFrame, grams: Grams) -> DataFrame:
     """Grams of every word and the ``least`` number of them that a word one edit away has too.
 
-    Words that are sure of fewer than ``SHARED`` variable grams are decomposed once more, with grams of the shortest length alone (``kind`` "s"): two such words
+    Words that are sure of fewer than ``MOST`` variable grams are decomposed once more, with grams of the shortest length alone (``kind`` "s"): two such words
     meet there, every other pair meets among the variable grams.
     """
     plain = Grams(frozenset())
@@ -151,69 +155,172 @@ def decomposed(words: DataFrame, grams: Grams) -> DataFrame:
                     found = book.decompose(word)
                     least = len(found) - book.affected(word, found)
                     rows.append((word, n, kind, [g for _, g in found], [p for p, _ in found], least))
-                    if least >= SHARED:
+                    if least >= MOST:
                         break
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
     return words.select("word", "n").mapInArrow(run, DECOMPOSED)
 
 
-def signed(text: str) -> int:
-    h = xxhash.xxh64_intdigest(text.encode())
-    return h - (1 << 64) if h >> 63 else h
+def hashed(texts: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t.encode()) for t in texts], np.uint64)
 
 
-def list_keys(kind: str, size: int, ordered: list[tuple[str, int]], least: int, shared: int, inside: set[int] | None) -> Iterator[tuple[int, bool]]:
-    """Keys of the lists a word is in, and whether for words of its own length (else for those of one letter more).
+def list_rows(first: np.ndarray, gram: np.ndarray, place: np.ndarray, least: np.ndarray, head: np.ndarray, longer: np.ndarray, shared: int,
+              inside: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows and keys of the lists that words are in, and whether for words of their own length (else for those of one letter more).
 
-    Of two words that share ``t`` grams, in any one order of grams the first shared one is among the first ``m - t + 1`` of either, the second among the first
+    Word ``i`` has the grams ``first[i]`` to ``first[i + 1]`` (hashes and places), rarest first; ``head`` and ``longer`` are hashes of its own length and one more.  Of two
+    words that share ``t`` grams, in any one order of grams the first shared one is among the first ``m - t + 1`` of either, the second among the first
     ``m - t + 2``, and so on.  A gram on the right of an added letter stands one place later in the longer word.  ``inside`` holds the lists, by one gram less, that are split.
     """
-    m = len(ordered)
-    last = [min(m, m - max(least, 1) + 1 + j) for j in range(shared)]
-    for chosen in combinations(range(last[-1]), shared - 1):
-        if any(i >= top for i, top in zip(chosen, last)):
+    m = np.diff(first)
+    for size, sure in set(zip(m.tolist(), np.maximum(least, 1).tolist())):
+        rows = np.flatnonzero((m == size) & (np.maximum(least, 1) == sure))
+        chosen = [c for c in combinations(range(min(size, size - sure + shared)), shared) if all(i <= size - sure + j for j, i in enumerate(c))]
+        if not chosen:
             continue
-        picked = [ordered[i] for i in chosen]
-        places = sorted({p for _, p in picked})
-        for own, cuts in ((True, [size + 1]), (False, [*places, size + 1])):
-            for cut in cuts:
-                text = " ".join([f"{kind}{size + (not own)}", *(f"{g}{p + (p >= cut)}" for g, p in picked)])
-                if inside is not None and signed(text) not in inside:
-                    continue
-                below = max((p for p in places if p < cut), default=-1)
-                for g, p in ordered[chosen[-1] + 1 if chosen else 0:last[-1]]:
-                    if own or p <= below or p < cut:
-                        yield signed(f"{text} {g}{p}"), own
-                    if not own and p > below:
-                        yield signed(f"{text} {g}{p + 1}"), own
+        at = first[rows][:, None, None] + np.array(chosen)[None]
+        names, places = gram[at], place[at]
+        # How many of the chosen grams stand further left.
+        left = (places[..., :, None] > places[..., None, :]).sum(axis=-1)
+        for own, start, kept in [(True, head, shared)] + [(False, longer, k) for k in range(shared + 1)]:
+            key = np.broadcast_to(start[rows][:, None], at.shape[:2])
+            good = np.ones(at.shape[:2], bool)
+            for j in range(shared):
+                if j == shared - 1 and inside is not None:
+                    good = np.isin(key, inside)
+                key = mix64(key * np.uint64(3) + mix64(names[..., j] + (places[..., j] + (left[..., j] >= kept)).astype(np.uint64)))
+            r, c = np.nonzero(good)
+            yield rows[r], key[r, c], own
 
 
 ROWS = "key long, word string, n long, own boolean"
 
 
 def lists(words: DataFrame, shared: int, frequency: dict[str, int]) -> DataFrame:
-    """Rows of the gram lists: each word under the keys of ``list_keys``; ``words`` has ``inside`` where longer lists are split."""
+    """Rows of the gram lists: each word under the keys of ``list_rows``; ``words`` has ``inside`` where longer lists are split."""
     split = "inside" in words.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512).to_pydict()
-                rows = []
-                for i, word in enumerate(part["word"]):
-                    ordered = sorted(zip(part["gram"][i], part["place"][i]), key=lambda g: (frequency.get(g[0], 0), g))
-                    inside = set(part["inside"][i]) if split else None
-                    rows += [(key, word, part["n"][i], own) for key, own in set(list_keys(part["kind"][i], len(word), ordered, part["least"][i], shared, inside))]
-                schema = fixed_schema(ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+            for at in range(0, len(batch), 8192):
+                part = batch.slice(at, 8192)
+                grams = part.column("gram").flatten().dictionary_encode()
+                names = grams.dictionary.to_pylist()
+                rank = np.empty(len(names), np.int64)
+                rank[sorted(range(len(names)), key=lambda i: (frequency.get(names[i], 0), names[i]))] = np.arange(len(names))
+                which, place = grams.indices.to_numpy(), part.column("place").flatten().to_numpy().astype(np.int64)
+                m = part.column("gram").value_lengths().to_numpy()
+                order = np.lexsort((place, rank[which], np.repeat(np.arange(len(part)), m)))
+                kinds, sizes = part.column("kind").to_pylist(), pc.utf8_length(part.column("word")).to_pylist()
+                head, longer = (hashed([f"{k}{n + more}" for k, n in zip(kinds, sizes)]) for more in (0, 1))
+                inside = part.column("inside").flatten().to_numpy().view(np.uint64) if split else None
+                for rows, key, own in list_rows(np.append(0, np.cumsum(m)), hashed(names)[which][order], place[order], part.column("least").to_numpy(), head, longer, shared, inside):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("word").take(pa.array(rows)), part.column("n").take(pa.array(rows)),
+                                                      pa.array(np.full(len(rows), own))], schema=fixed_schema(ROWS))
+    # A gram can be in two of the chosen places, so a key can occur twice for a word.
     return words.mapInArrow(run, ROWS)
 
 
+def letters_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of words in a row, where each starts and how many it has."""
+    raw, _ = utf8(words)
+    size = pc.utf8_length(words).to_numpy().astype(np.int64)
+    return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32), np.cumsum(size) - size, size
+
+
+def one_edit(points: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which words ``a`` become the words ``b``, as long or one longer, by exactly one other or added code point."""
+    good = np.zeros(len(a), bool)
+    for n in set(size[b].tolist()):
+        rows = np.flatnonzero(size[b] == n)
+        step = max(1, COMPARED // n)
+        for at in range(0, len(rows), step):
+            some = rows[at:at + step]
+            wide = points[start[b[some]][:, None] + np.arange(n)]
+            longer = size[a[some]] < n
+            like = some[~longer]
+            good[like] = (points[start[a[like]][:, None] + np.arange(n)] != wide[~longer]).sum(axis=1) == 1
+            less = some[longer]
+            short, wide = points[start[a[less]][:, None] + np.arange(n - 1)], wide[longer]
+            before = np.logical_and.accumulate(short == wide[:, :-1], axis=1).sum(axis=1)
+            after = np.logical_and.accumulate((short == wide[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+            good[less] = before + after >= n - 1
+    return good
+
+
+MET = "key long, a string, n_a long, b string, n_b long"
+
+
+def meet(rows: DataFrame) -> DataFrame:
+    """Near words among the rows of lists; and each row of a list that is too long, with its ``key``, and 1 as ``n_b`` if it is of the list's own length.
+
+    Rows are sorted by list, so a task holds no more than a batch and ``LIST`` rows, whatever the length of a list.
+    """
+    schema = fixed_schema(MET)
+
+    def long(part: pa.RecordBatch, rows: np.ndarray | slice) -> pa.RecordBatch:
+        key, word, n, own = part.columns
+        if not isinstance(rows, slice):
+            key, word, n, own = (c.take(pa.array(rows)) for c in (key, word, n, own))
+        return pa.RecordBatch.from_arrays([key, word, n, pa.nulls(len(key), pa.string()), own.cast(pa.int64())], schema=schema)
+
+    def answers(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """``part`` holds whole lists."""
+        if not len(part):
+            return
+        key, own = part.column("key").to_numpy(), part.column("own").to_numpy(zero_copy_only=False)
+        edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if key[0] > np.iinfo(np.int64).min else key[0] + 1))
+        length = np.diff(np.append(edge, len(key)))
+        if (length > LIST).any():
+            yield long(part, np.flatnonzero(np.repeat(length > LIST, length)))
+        mine = np.flatnonzero(own & np.repeat((length > 1) & (length <= LIST), length))
+        if not len(mine):
+            return
+        which = np.searchsorted(edge, mine, side="right") - 1
+        others = length[which]
+        b = np.repeat(mine, others)
+        a = np.repeat(edge[which], others) + np.arange(int(others.sum())) - np.repeat(np.cumsum(others) - others, others)
+        pairs = ~own[a] | (a < b)
+        a, b = a[pairs], b[pairs]
+        good = one_edit(*letters_of(part.column("word")), a, b)
+        a, b = pa.array(a[good]), pa.array(b[good])
+        word, n = part.column("word"), part.column("n")
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), word.take(a), n.take(a), word.take(b), n.take(b)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, skipped = None, None
+        for batch in batches:
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+                rest = None
+            if not len(batch):
+                continue
+            key = batch.column("key").to_numpy()
+            if skipped is not None:
+                same = int(np.searchsorted(key, skipped, side="right"))
+                if same:
+                    yield long(batch.slice(0, same), slice(None))
+                batch, key = batch.slice(same), key[same:]
+                if not len(batch):
+                    continue
+                skipped = None
+            last = int(np.searchsorted(key, key[-1], side="left"))
+            yield from answers(batch.slice(0, last))
+            rest = batch.slice(last)
+            if len(rest) > LIST:
+                yield long(rest, slice(None))
+                rest, skipped = None, key[-1]
+        if rest is not None:
+            yield from answers(rest)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, MET)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """Pairs of ``words`` (``word``, ``n``, distinct words of at least seven code points) that differ by exactly one added, lost or other code point, as ``a``, ``n_a``, ``b``, ``n_b``, each pair once.
 
     Words meet in lists of the grams that a pair must share: only the first grams of each word in the order of rarity, by place and length.  A list of more
-    than ``LIST`` words is split by the next shared gram, up to ``SHARED`` grams.  What meets is verified.  No pair is lost: see ``Grams.affected``.
+    than ``LIST`` words is split by the next shared gram, up to ``MOST`` grams; what is too long even then is joined.  What meets is verified.  No pair is lost: see ``Grams.affected``.
     """
     words = cut_lineage(words.select("word", "n"), "words")
     n_words = words.count()
@@ -221,25 +328,26 @@ def near_words(words: DataFrame) -> DataFrame:
     counts = table.select(F.explode("gram").alias("gram")).groupBy("gram").count().where(F.col("count") > ORDERED * n_words)
     # At most (grams of a word) / ORDERED rows.
     frequency = {r[0]: r[1] for r in counts.collect()}
-    found, now = [], table
-    for shared in range(1, SHARED + 1):
-        rows = cut_lineage(lists(now, shared, frequency), "lists")
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.max("own").alias("some")).where("some AND size > 1")
-        sizes = cut_lineage(sizes.select("key", ((F.col("size") > LIST) & F.lit(shared < SHARED)).alias("long")), "sizes")
-        short = rows.join(sizes.where("NOT long").select("key"), "key")
-        mine = short.where("own").select("key", F.col("word").alias("b"), F.col("n").alias("n_b"))
-        met = short.select("key", "own", F.col("word").alias("a"), F.col("n").alias("n_a")).join(mine, "key").where("NOT own OR a < b")
-        found.append(cut_lineage(met.where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b").distinct(), "near"))
-        split = sizes.where("long").select("key")
-        if split.isEmpty():
+    pairs, now = [], table
+    for shared in range(SHARED, MOST + 1):
+        met = cut_lineage(meet(lists(now, shared, frequency)), "near")
+        pairs.append(met.where("key IS NULL").drop("key"))
+        long = met.where("key IS NOT NULL").select("key", "a", "n_a", "n_b")
+        if long.isEmpty():
             break
-        # At most three keys for each of the word's first grams.
-        inside = rows.join(split, "key").groupBy("word").agg(F.collect_set("key").alias("inside"))
-        now = table.join(inside, "word")
-    out = found[0]
-    for more in found[1:]:
+        if shared < MOST:
+            # A word is in few lists: those of its first grams.
+            now = table.join(long.groupBy(F.col("a").alias("word")).agg(F.collect_set("key").alias("inside")), "word")
+        else:
+            own = long.where("n_b = 1").select("key", F.col("a").alias("b"), F.col("n_a").alias("n"))
+            both = long.join(own, "key").where("(n_b = 0 OR a < b) AND levenshtein(a, b, 1) = 1")
+            pairs.append(both.select("a", "n_a", "b", F.col("n").alias("n_b")))
+    out = pairs[0]
+    for more in pairs[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    least, most = (F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a")))
+    n_least, n_most = (F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)) for x, y in (("n_a", "n_b"), ("n_b", "n_a")))
+    return out.select(least.alias("a"), n_least.alias("n_a"), most.alias("b"), n_most.alias("n_b")).distinct()
 
 
 def group_variants(words: DataFrame) -> DataFrame:

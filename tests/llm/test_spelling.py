@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,6 +74,7 @@ def test_groups_equal_brute_force(spark, monkeypatch, limit):
     """With split lists and without."""
     monkeypatch.setattr(spelling, "LIST", limit)
     check(spark, family(limit, 700))
+    monkeypatch.setattr(spelling, "SHARED", 1)
     check(spark, family(5, 400, letters="ab", size=12))
 
 
@@ -122,11 +125,22 @@ def test_near_words_share_a_list(word, at, letter, kind, shared):
     book = spelling.Grams(frozenset({"ab", "bc", "ca"}))
     at %= len(word)
     other = word[:at] + letter + word[at + (kind == "other"):]
-    sides = []
+    own, longer, sure = {}, {}, []
     for w in (word, other):
-        grams = book.decompose(w)
-        least = len(grams) - book.affected(w, grams)
-        sides.append((least, set(spelling.list_keys("v", len(w), sorted((g, p) for p, g in grams), least, shared, None))))
-    if word != other and max(sides[0][0], sides[1][0]) >= shared:
-        mine = {k for k, own in sides[1][1] if own}
-        assert mine & {k for k, own in sides[0][1] if own == (kind == "other")}
+        grams = sorted((g, p) for p, g in book.decompose(w))
+        sure.append(len(grams) - book.affected(w, book.decompose(w)))
+        heads = [spelling.hashed([f"v{len(w) + k}"]) for k in (0, 1)]
+        for rows, key, mine in spelling.list_rows(np.array([0, len(grams)]), spelling.hashed([g for g, _ in grams]), np.array([p for _, p in grams]), np.array(sure[-1:]), *heads, shared, None):
+            (own if mine else longer).setdefault(w, set()).update(key.tolist())
+    if word != other and max(sure) >= shared:
+        assert own[other] & (own if kind == "other" else longer)[word]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abé", min_size=7, max_size=9), min_size=2, max_size=12))
+def test_verification(words):
+    found = spelling.letters_of(pa.array(words))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    fit = np.array([len(words[j]) - len(words[i]) in (0, 1) for i, j in zip(a, b)])
+    a, b = a[fit], b[fit]
+    assert spelling.one_edit(*found, a, b).tolist() == [one_edit(words[i], words[j]) for i, j in zip(a, b)]
