@@ -2,7 +2,7 @@
 
 Group means and deviations are partial aggregates joined back.  Ranks, medians and
 cumulative sums need an order inside the group; ``cumulative_by_value`` splits every group
-by a monotone bin of the value, so no task ever holds a whole group, and copies of one
+by ranges of the value, so no task ever holds a whole group, and copies of one
 value are aggregated before they are ordered.  The split plans store the narrow frames they
 read more than once.  When all input together is below the size limit, a plain window is
 cheaper and used instead; both give the same result.
@@ -68,8 +68,9 @@ def cumulative_by_value(df: DataFrame, by: list[str], value: str, measures: dict
             {f"{m}_before": F.coalesce(F.sum(m).over(w), F.lit(0)) for m in measures}
             | {f"{m}_total": F.sum(m).over(Window.partitionBy(*by)) for m in measures})
     bin_order = F.col("_bin").desc() if descending else F.col("_bin").asc()
-    values = cut_lineage(values.withColumn("_bin", monotone_bin(F.col(value))), "values")
-    # Bins per group are bounded by the double range, so this window stays small.
+    # Ranges of (group, value) with borders drawn from the data, so values in a narrow band are spread like any others.
+    values = cut_lineage(values.repartitionByRange(*[F.col(c) for c in by], F.col(value)).withColumn("_bin", F.spark_partition_id()), "values")
+    # A group has at most one bin per partition, so this window stays small.
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     earlier = group.orderBy(bin_order).rowsBetween(Window.unboundedPreceding, -1)
     bins = values.groupBy(*by, "_bin").agg(*[F.sum(m).alias(m) for m in measures])

@@ -1,6 +1,6 @@
 """Feature selection: scores, gates, false-discovery control, pruning, grouping, search, report.
 
-Rows are only touched by partial aggregates, ranks per (feature, date) and bounded samples; what
+Rows are only touched by partial aggregates, ranks per (feature, date) and the pair metrics of ``operators.pairwise``; what
 is left after that has one row per feature, feature pair or (feature, fold), so its size follows
 the schema's width, not the data.
 """
@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from panelspark.contract import DATE, KEY, MODEL_TARGET, REALIZED_RETURN, TICKER
 from panelspark.functions.stats import binomial_tail
+from panelspark.operators.pairwise import PairMetrics
 from panelspark.operators.signals import daily_signal_diagnostics
 from panelspark.session import cut_lineage, fits_one_task
 
@@ -25,7 +25,6 @@ MIN_COVERAGE = 0.90
 POSITIVE_SHARE, PNL_SHARE, PNL_FLOOR = 0.50, 0.40, -0.0005
 FDR_ALPHA = 0.10
 LINEAR_THRESHOLD = DISTANCE_THRESHOLD = 0.80
-LINEAR_SAMPLE, DISTANCE_SAMPLE, TARGET_SAMPLE = 50_000, 512, 2048
 TARGET_THRESHOLD = 0.005
 MAX_GROUP_SIZE, SELECTED_FEATURES = 64, 30
 PEARSON_PRESCREEN, STRONG_EDGE = 0.90, 0.95
@@ -165,15 +164,7 @@ def with_sfi_rank(board: DataFrame) -> DataFrame:
     return board.withColumn("sfi_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order, "feature")))
 
 
-# --- pair metrics over a bounded sample -------------------------------------------------------------------
-
-
-def feature_vectors(sample: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, values): one array per feature over the sample rows in key order.  ``sample`` has a
-    fixed maximum size, so an array does too."""
-    long = unpivot_features(sample, features, list(KEY))
-    ordered = F.sort_array(F.collect_list(F.struct(*KEY, "x")))
-    return long.groupBy("feature").agg(F.transform(ordered, lambda s: s["x"]).alias("values"))
+# --- pair metrics ---------------------------------------------------------------------------------------
 
 
 def feature_pairs(scopes: DataFrame) -> DataFrame:
@@ -184,116 +175,72 @@ def feature_pairs(scopes: DataFrame) -> DataFrame:
             .select("scope", F.col("feature").alias("left"), "right"))
 
 
-def _as_array(values) -> np.ndarray:
-    return np.array([np.nan if v is None else v for v in values], dtype=float)
-
-
-def abs_spearman(a: np.ndarray, b: np.ndarray) -> float:
-    """|Pearson| of own ranks over rows complete in both; 0 when undefined."""
-    x, y = pd.Series(a).rank().to_numpy(), pd.Series(b).rank().to_numpy()
-    return abs_pearson(x, y)
-
-
-def abs_pearson(x: np.ndarray, y: np.ndarray) -> float:
-    both = ~(np.isnan(x) | np.isnan(y))
-    x, y = x[both], y[both]
-    if len(x) < 2 or np.ptp(x) == 0 or np.ptp(y) == 0:
-        return 0.0
-    return float(abs(np.corrcoef(x, y)[0, 1]))
-
-
-def _fill_with_median(x: np.ndarray) -> np.ndarray:
-    known = np.isfinite(x)
-    return np.where(known, x, np.median(x[known]) if known.any() else 0.0)
-
-
-def distance_correlation(a: np.ndarray, b: np.ndarray) -> float:
-    """Distance correlation of two equally long vectors; a constant side gives 0."""
-    a, b = _fill_with_median(a), _fill_with_median(b)
-    if len(a) < 2 or len(a) != len(b) or np.ptp(a) == 0 or np.ptp(b) == 0:
-        return 0.0
-
-    def centred(x):
-        m = np.abs(x[:, None] - x[None, :])
-        return m - m.mean(axis=0) - m.mean(axis=1)[:, None] + m.mean()
-    p, q = centred(a), centred(b)
-    spread = np.sqrt((p * p).mean() * (q * q).mean())
-    return float(np.sqrt(max((p * q).mean() / spread, 0.0))) if spread > 0 else 0.0
-
-
-METRICS = {"spearman": abs_spearman, "pearson": abs_pearson, "distance": distance_correlation}
-
-
-def _scorer(metric: str):
-    fn = METRICS[metric]
-
-    @F.pandas_udf(T.DoubleType())
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([fn(_as_array(x), _as_array(y)) for x, y in zip(a, b, strict=True)], dtype=float)
-    return score
-
-
-def pair_metric(pairs: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
-    """Add ``value``: the metric of each pair, pairs spread over the cluster."""
-    left = vectors.select(F.col("feature").alias("left"), F.col("values").alias("_a"))
-    right = vectors.select(F.col("feature").alias("right"), F.col("values").alias("_b"))
-    return pairs.join(left, "left").join(right, "right").withColumn("value", _scorer(metric)("_a", "_b")).drop("_a", "_b")
-
-
-def spearman_matrix(sample: DataFrame, features: list[str]) -> DataFrame:
+def spearman_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """(left, right, value) over the full square, diagonal 1."""
-    vectors = feature_vectors(sample, features)
-    upper = pair_metric(feature_pairs(vectors.select(F.lit("all").alias("scope"), "feature")), vectors, "spearman")
+    metrics = PairMetrics(df, features)
+    upper = metrics.spearman()
     both = F.array(F.struct(F.col("left"), F.col("right")), F.struct(F.col("right").alias("left"), F.col("left").alias("right")))
     square = upper.select(F.explode(both).alias("_p"), "value").select("_p.left", "_p.right", "value")
-    return square.unionByName(vectors.select(F.col("feature").alias("left"), F.col("feature").alias("right"), F.lit(1.0).alias("value")))
+    one = df.sparkSession.createDataFrame([(f, f, 1.0) for f in metrics.features], "left string, right string, value double")
+    return square.unionByName(one)
 
 
 # --- redundancy pruning ---------------------------------------------------------------------------------------
 
-AUDIT = ("stage_level string, scope_key string, feature string, decision string, representative_feature string, "
-         "reference_feature string, metric_value double")
-
-
-def greedy_prune(ranked: DataFrame, pairs: DataFrame, level: str, threshold: float) -> DataFrame:
-    """Per scope, best rank first: a feature goes when its metric with an already kept one reaches the
-    threshold.  Only pairs at or above the threshold travel."""
-    def prune(key, features: pd.DataFrame, strong: pd.DataFrame) -> pd.DataFrame:
-        close = {(a, b): v for a, b, v in zip(strong["left"], strong["right"], strong["value"], strict=True)}
-        kept: list[str] = []
-        rows = []
-        for name in features.sort_values(["sfi_rank", "feature"])["feature"]:
-            match = next((k for k in kept if (min(name, k), max(name, k)) in close), None)
-            if match is None:
-                kept.append(name)
-                rows.append((level, key[0], name, "keep", name, None, None))
-            else:
-                rows.append((level, key[0], name, "drop", match, match, close[min(name, match), max(name, match)]))
-        return pd.DataFrame(rows, columns=["stage_level", "scope_key", "feature", "decision", "representative_feature",
-                                           "reference_feature", "metric_value"])
-    strong = pairs.where(F.col("value") >= threshold).select(F.col("scope").alias("pair_scope"), "left", "right", "value")
-    features = ranked.select("scope", "feature", "sfi_rank")
-    return features.groupBy("scope").cogroup(strong.groupBy("pair_scope")).applyInPandas(prune, AUDIT)
-
-
-def prune_redundant(board: DataFrame, vectors: DataFrame, metric: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+def best_of_close(ranked: DataFrame, pairs: DataFrame, level: str, threshold: float) -> DataFrame:
+    """Audit of one pruning level: a feature stays unless a better-ranked one that stays is as close as the threshold.
+
+    ``ranked`` has scope, feature and sfi_rank, ``pairs`` scope, left, right and value.  Rounds over the table of close pairs, all scopes at once: a feature without an undecided better neighbour
+    stays, and what is next to it goes.  The best-ranked feature of every undecided group is settled in each round, so rounds end.
+    """
+    better = F.struct("sfi_rank", "feature")
+    place = ranked.select("scope", F.col("feature"), better.alias("place"))
+    close = pairs.where(F.col("value") >= threshold)
+    close = cut_lineage(close.select("scope", F.col("left").alias("feature"), F.col("right").alias("other"), "value")
+                        .unionByName(close.select("scope", F.col("right").alias("feature"), F.col("left").alias("other"), "value")), "close_pairs")
+    open_ = place
+    settled = []
+    while True:
+        rivals = close.join(open_.select("scope", F.col("feature").alias("other"), F.col("place").alias("rival")), ["scope", "other"])
+        first = rivals.groupBy("scope", "feature").agg(F.min("rival").alias("rival"))
+        stay = cut_lineage(open_.join(first, ["scope", "feature"], "left").where("rival IS NULL OR place < rival").select("scope", "feature", "place"), "kept")
+        if stay.isEmpty():
+            break
+        settled.append(stay)
+        beside = close.join(stay.select("scope", F.col("feature").alias("other")), ["scope", "other"]).select("scope", "feature")
+        open_ = cut_lineage(open_.join(stay, ["scope", "feature"], "left_anti").join(beside, ["scope", "feature"], "left_anti"), "open")
+    if not settled:
+        kept = place.limit(0)
+    else:
+        kept = settled[0]
+        for more in settled[1:]:
+            kept = kept.unionByName(more)
+    near = close.join(kept.select("scope", F.col("feature").alias("other"), "place"), ["scope", "other"])
+    near = near.groupBy("scope", "feature").agg(F.min(F.struct("place", "other", "value")).alias("near"))
+    out = place.join(kept.select("scope", "feature", F.lit(True).alias("stays")), ["scope", "feature"], "left").join(near, ["scope", "feature"], "left")
+    stays = F.coalesce("stays", F.lit(False))
+    gone = F.when(~stays, F.col("near.other"))
+    return out.select(F.lit(level).alias("stage_level"), F.col("scope").alias("scope_key"), "feature", F.when(stays, "keep").otherwise("drop").alias("decision"),
+                      F.when(stays, F.col("feature")).otherwise(gone).alias("representative_feature"), gone.alias("reference_feature"),
+                      F.when(~stays, F.col("near.value")).alias("metric_value"))
+
+
+def prune_redundant(board: DataFrame, metrics: PairMetrics, metric: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Stem, then family, then global pruning of the board's features; returns (survivors, audit).
     ``board`` needs feature, feature_family, feature_stem and sfi_rank."""
     current, audits = board.select("feature", "feature_family", "feature_stem", "sfi_rank"), []
     for level, scope in (("stem", F.col("feature_stem")), ("family", F.col("feature_family")), ("global", F.lit("global"))):
-        scoped = current.withColumn("scope", scope)
-        pairs = pair_metric(feature_pairs(scoped.select("scope", "feature")), vectors, metric)
-        audit = cut_lineage(greedy_prune(scoped, pairs, level, threshold))
+        scoped = cut_lineage(current.withColumn("scope", scope), "scoped")
+        pairs = metrics.of(feature_pairs(scoped.select("scope", "feature")), metric)
+        audit = cut_lineage(best_of_close(scoped, pairs, level, threshold))
         audits.append(audit)
         current = current.join(audit.where("decision = 'keep'").select("feature"), "feature", "left_semi")
     return current, audits[0].unionByName(audits[1]).unionByName(audits[2])
 
 
-def target_distance_filter(features: DataFrame, vectors: DataFrame, target: str, threshold: float = TARGET_THRESHOLD) -> DataFrame:
+def target_distance_filter(features: DataFrame, metrics: PairMetrics, target: str, threshold: float = TARGET_THRESHOLD) -> DataFrame:
     """(feature, target_distance_correlation, passes_target_correlation, drop_reason)."""
-    wanted = vectors.where(F.col("feature") == target).select("values")
-    scored = (features.select("feature").join(vectors, "feature").withColumn("_target", wanted.scalar())
-              .withColumn("value", _scorer("distance")("values", "_target")))
+    scored = metrics.of(features.select(F.col("feature").alias("left"), F.lit(target).alias("right")), "distance").withColumnRenamed("left", "feature")
     passes = F.col("value") > threshold
     return scored.select("feature", F.col("value").alias("target_distance_correlation"), passes.alias("passes_target_correlation"),
                          F.when(passes, "retained").otherwise("low_target_distance_correlation").alias("drop_reason"))
@@ -315,16 +262,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def prune_correlated(sample: DataFrame, features: list[str], target: str, prescreen: float = PEARSON_PRESCREEN,
+def prune_correlated(df: DataFrame, features: list[str], target: str, prescreen: float = PEARSON_PRESCREEN,
                      strong: float = STRONG_EDGE) -> DataFrame:
     """(feature, component, keep): components of near-identical features; each keeps the member with
     the highest distance correlation to the target."""
-    vectors = feature_vectors(sample, [*features, target])
-    names = vectors.where(F.col("feature") != target).select(F.lit("all").alias("scope"), "feature")
-    close = pair_metric(feature_pairs(names), vectors, "pearson").where(F.col("value") >= prescreen).drop("value")
-    edges = pair_metric(close, vectors, "distance").where(F.col("value") >= strong)
-    members = connected_components(edges)
-    scored = target_distance_filter(members, vectors, target).select("feature", "target_distance_correlation")
+    metrics = PairMetrics(df, [*features, target])
+    names = df.sparkSession.createDataFrame([("all", f) for f in features], "scope string, feature string")
+    close = metrics.of(feature_pairs(names), "pearson").where(F.col("value") >= prescreen).drop("value")
+    edges = metrics.of(close, "distance").where(F.col("value") >= strong)
+    members = cut_lineage(connected_components(edges))
+    scored = target_distance_filter(members, metrics, target).select("feature", "target_distance_correlation")
     best = Window.partitionBy("component").orderBy(F.col("target_distance_correlation").desc(), F.col("feature").desc())
     return members.join(scored, "feature").withColumn("keep", F.row_number().over(best) == 1)
 
@@ -347,12 +294,12 @@ def partition_bucket(names: list[str], value: dict[tuple[str, str], float], size
     return sorted(map(sorted, set(group.values())))
 
 
-def group_features(features: DataFrame, vectors: DataFrame, size: int = MAX_GROUP_SIZE) -> DataFrame:
+def group_features(features: DataFrame, metrics: PairMetrics, size: int = MAX_GROUP_SIZE) -> DataFrame:
     """(group_id, feature_family, feature_stem, feature): buckets by family and stem, large ones split.
     Pair metrics are only computed for buckets above the size."""
     scoped = features.select("feature", "feature_family", "feature_stem", F.concat_ws(":", "feature_family", "feature_stem").alias("scope"))
     large = scoped.groupBy("scope").agg(F.count("*").alias("_n")).where(F.col("_n") > size).select("scope")
-    pairs = pair_metric(feature_pairs(scoped.join(large, "scope", "left_semi").select("scope", "feature")), vectors, "spearman")
+    pairs = metrics.of(feature_pairs(scoped.join(large, "scope", "left_semi").select("scope", "feature")), "spearman")
 
     def split(key, rows: pd.DataFrame, metrics: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
@@ -408,9 +355,9 @@ def score_states(states: dict[str, list[str]], df: DataFrame, folds: DataFrame,
 
 
 def search_groups(df: DataFrame, folds: DataFrame, groups: dict[str, list[str]], target: str = MODEL_TARGET, realized: str = REALIZED_RETURN,
-                  max_rounds: int = 8, top_fraction: float = 0.01) -> tuple[list[str], list[dict]]:
+                  max_rounds: int | None = None, top_fraction: float = 0.01) -> tuple[list[str], list[dict]]:
     """Start from the best single group, then move to the best improving neighbour that passes the
-    gates.  One Spark job per round; the driver only sees one row per scored state."""
+    gates, until none improves (or ``max_rounds``).  One Spark job per round; the driver only sees one row per scored state."""
     from panelspark.operators.models import fold_moments
     features = sorted({f for names in groups.values() for f in names})
     split = not fits_one_task(df)
@@ -439,9 +386,9 @@ def search_groups(df: DataFrame, folds: DataFrame, groups: dict[str, list[str]],
     evaluate(singles)
     accepted, anchor = best(singles)
     current = accepted or anchor
-    for _ in range(max_rounds):
-        if current is None:
-            break
+    rounds = 0
+    while current is not None and (max_rounds is None or rounds < max_rounds):
+        rounds += 1
         options = neighbour_states(current, sorted(groups))
         evaluate(options)
         candidate, _any = best(options)
@@ -488,21 +435,18 @@ def family_counts(groups: DataFrame) -> DataFrame:
     return groups.groupBy("feature_family").agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("features"))
 
 
-def select_features(df: DataFrame, folds: DataFrame, features: list[str], fold_count: int, sample_for, target: str = MODEL_TARGET,
+def select_features(df: DataFrame, folds: DataFrame, features: list[str], fold_count: int, target: str = MODEL_TARGET,
                     realized: str = REALIZED_RETURN, top_fraction: float = 0.01, limit: int = SELECTED_FEATURES) -> dict[str, DataFrame]:
-    """Whole pipeline: scores and FDR, linear, distance and target pruning, groups, search, report.
-
-    ``sample_for(n)`` returns the bounded sample of ``df`` a pair metric runs on.
-    """
+    """Whole pipeline: scores and FDR, linear, distance and target pruning, groups, search, report.  All over all rows."""
     board = cut_lineage(with_sfi_rank(fdr_control(single_feature_scores(df, folds, features, target, realized, top_fraction), fold_count)))
     survivors = board.where("passes_sfi")
-    linear_vectors = cut_lineage(feature_vectors(sample_for(LINEAR_SAMPLE), features))
-    linear, linear_audit = prune_redundant(survivors, linear_vectors, "spearman", LINEAR_THRESHOLD)
-    distance, distance_audit = prune_redundant(linear, cut_lineage(feature_vectors(sample_for(DISTANCE_SAMPLE), features)), "distance", DISTANCE_THRESHOLD)
-    target_vectors = feature_vectors(sample_for(TARGET_SAMPLE), [*features, target])
-    audit = cut_lineage(target_distance_filter(distance, target_vectors, target))
+    metrics = PairMetrics(df, [*features, target])
+    linear, linear_audit = prune_redundant(survivors, metrics, "spearman", LINEAR_THRESHOLD)
+    distance, distance_audit = prune_redundant(linear, metrics, "distance", DISTANCE_THRESHOLD)
+    known_target = PairMetrics(df.where(F.col(target).isNotNull()), [*features, target])
+    audit = cut_lineage(target_distance_filter(distance, known_target, target))
     passing = distance.join(audit.where("passes_target_correlation"), "feature", "left_semi")
-    manifest = cut_lineage(group_features(passing, linear_vectors))
+    manifest = cut_lineage(group_features(passing, metrics))
     groups: dict[str, list[str]] = {}
     for x in manifest.orderBy("group_id", "feature").collect():
         groups.setdefault(x["group_id"], []).append(x["feature"])

@@ -18,6 +18,7 @@ from panelspark.operators import models as MD
 from panelspark.operators import quant as Q
 from panelspark.operators import selection as SL
 from panelspark.operators import splits as SP
+from panelspark.operators.pairwise import PairMetrics
 from panelspark.plans.q_panel import LAB, SPLIT_SQL, TEST_START
 from panelspark.plans.q_signals import _classified, avg_rank, corr_sql
 from panelspark.plans.registry import BARS, D, WINDOWS, out, query, r, roll
@@ -126,60 +127,53 @@ def _(spark, d):
     return SL.selection_summary(report).select("candidate_feature_count", "sfi_survivor_count", "linear_survivor_count", "selected_feature_count")
 
 
-# Pair metrics run on the sampling operator's rows: the 2000 smallest keyed hashes of complete train rows.
-SAMPLE = 2000
-SAMPLE_SQL = FOLD_SQL + f", sm AS (SELECT * FROM tr ORDER BY md5('7|' || CAST(date AS VARCHAR) || '|' || ticker) LIMIT {SAMPLE})"
-
-
-def _sample(df, n=SAMPLE):
-    return SP.seeded_row_sample(df, n, 7)
-
-
 def _spearman_pair(a, b):
     return (f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", abs({corr_sql('a', 'b')}) AS v FROM (SELECT CASE WHEN {SHORT[a]} IS NOT NULL THEN rank() OVER (ORDER BY {SHORT[a]} NULLS LAST) + (count(*) OVER (PARTITION BY {SHORT[a]}) - 1) / 2.0::DOUBLE END AS a, "
-            f"CASE WHEN {SHORT[b]} IS NOT NULL THEN rank() OVER (ORDER BY {SHORT[b]} NULLS LAST) + (count(*) OVER (PARTITION BY {SHORT[b]}) - 1) / 2.0::DOUBLE END AS b FROM sm)")
+            f"CASE WHEN {SHORT[b]} IS NOT NULL THEN rank() OVER (ORDER BY {SHORT[b]} NULLS LAST) + (count(*) OVER (PARTITION BY {SHORT[b]}) - 1) / 2.0::DOUBLE END AS b FROM tr)")
 
 
-SPEAR_SQL = SAMPLE_SQL + ", spu AS (" + " UNION ALL ".join(_spearman_pair(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:]) + ")"
+SPEAR_SQL = FOLD_SQL + ", spu AS (" + " UNION ALL ".join(_spearman_pair(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:]) + ")"
 
 
 @query("r180_spearman_matrix", f"""WITH {SPEAR_SQL} SELECT "left", "right", {r('v', 'value', 8)} FROM (SELECT * FROM spu UNION ALL SELECT "right", "left", v FROM spu UNION ALL SELECT * FROM (VALUES {", ".join(f"('{f}', '{f}', 1.0::DOUBLE)" for f in FEATURES)}))""")
 def _(spark, d):
-    return out(SL.spearman_matrix(_sample(_train(spark, d)), FEATURES), ["value"], keep=("left", "right"), digits=8)
-
-
-# Distance correlation by its definition on the 400-row sample.
-DSAMPLE = 400
-
-
-def _dcor_sql(a, b):
-    return f"""(WITH z AS (SELECT row_number() OVER (ORDER BY date, ticker) AS i, coalesce({a}, median({a}) OVER ()) AS a, coalesce({b}, median({b}) OVER ()) AS b FROM ss),
- q AS (SELECT x.i, w.i AS j, abs(x.a - w.a) AS a, abs(x.b - w.b) AS b FROM z x, z w), rw AS (SELECT i, avg(a) AS ra, avg(b) AS rb FROM q GROUP BY i), tt AS (SELECT avg(a) AS ta, avg(b) AS tb FROM q),
- cc AS (SELECT q.a - r1.ra - r2.ra + ta AS a, q.b - r1.rb - r2.rb + tb AS b FROM q JOIN rw r1 ON r1.i = q.i JOIN rw r2 ON r2.i = q.j, tt)
- SELECT sqrt(greatest(avg(a * b) / sqrt(avg(a * a) * avg(b * b)), 0)) FROM cc)"""
+    return out(SL.spearman_matrix(_train(spark, d), FEATURES), ["value"], keep=("left", "right"), digits=8)
 
 
-DS_SQL = FOLD_SQL + f", ss AS (SELECT * FROM tr WHERE y IS NOT NULL ORDER BY md5('7|' || CAST(date AS VARCHAR) || '|' || ticker) LIMIT {DSAMPLE})"
+def _distance_sql(source, columns, pairs):
+    """Distance correlation by its definition over all rows of ``source``, in sums: products of distances over all row pairs, and mean distances of rows."""
+    def ordered(c):
+        before = f"(row_number() OVER (ORDER BY {c}) - 1)"
+        return f"({c} * (2 * {before} + 1 - n) + sum({c}) OVER () - 2 * coalesce(sum({c}) OVER (ORDER BY {c} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - {c}) / n AS a_{c}"
+    used = sorted({c for pair in pairs for c in pair})
+    filled = ", ".join(f"coalesce({c}, (SELECT median({c}) FROM {source})) - (SELECT median({c}) FROM {source}) AS {c}" for c in used)
+    spread = {c: f"(2 * q_{c} / n - 2 * (s_{c} / n) ** 2 - 2 * aa_{c} + am_{c} ** 2)" for c in used}
+    one = ", ".join(f"sum({c}) AS s_{c}, sum({c} * {c}) AS q_{c}, avg(a_{c} * a_{c}) AS aa_{c}, avg(a_{c}) AS am_{c}" for c in used)
+    two = ", ".join(f"avg(a_{a} * a_{b}) AS ab_{a}_{b}" for a, b in pairs)
+    rows = " UNION ALL ".join(f"SELECT '{columns[a]}' AS \"left\", '{columns[b]}' AS \"right\", sqrt(greatest((x_{a}_{b} / n / n - 2 * ab_{a}_{b} + am_{a} * am_{b}) / sqrt({spread[a]} * {spread[b]}), 0)) AS v FROM xx, ee"
+                              for a, b in pairs)
+    return f"""zz AS MATERIALIZED (SELECT {filled} FROM {source}), nn AS (SELECT *, (SELECT count(*) FROM zz)::DOUBLE AS n FROM zz), aa AS (SELECT *, {", ".join(map(ordered, used))} FROM nn),
+xx AS MATERIALIZED (SELECT {", ".join(f"sum(abs(p.{a} - q.{a}) * abs(p.{b} - q.{b})) AS x_{a}_{b}" for a, b in pairs)} FROM zz p, zz q),
+ee AS MATERIALIZED (SELECT max(n) AS n, {one}, {two} FROM aa), dc AS ({rows})"""
 
 
-def _small(spark, d):
-    return _sample(_train(spark, d).where(F.col(K.WEEK_NET).isNotNull()), DSAMPLE)
+LONG = {s: f for f, s in SHORT.items()}
+PAIR_NAMES = [(SHORT[a], SHORT[b]) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:]]
 
 
-@query("r181_distance_correlation", "WITH " + DS_SQL + " SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", {r(_dcor_sql(SHORT[a], SHORT[b]), 'value', 8)}" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:]) + ")")
+@query("r181_distance_correlation", f"""WITH {FOLD_SQL}, {_distance_sql('tr', LONG, PAIR_NAMES)} SELECT "left", "right", {r('v', 'value', 8)} FROM dc""")
 def _(spark, d):
-    vectors = SL.feature_vectors(_small(spark, d), FEATURES)
-    pairs = SL.feature_pairs(vectors.select(F.lit("all").alias("scope"), "feature"))
-    return out(SL.pair_metric(pairs, vectors, "distance"), ["value"], keep=("left", "right"), digits=8)
+    metrics = PairMetrics(_train(spark, d), FEATURES)
+    pairs = SL.feature_pairs(spark.createDataFrame([("all", f) for f in FEATURES], "scope string, feature string"))
+    return out(metrics.of(pairs, "distance"), ["value"], keep=("left", "right"), digits=8)
 
 
-@query("r182_target_distance_filter", "WITH " + DS_SQL + ", v AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {_dcor_sql(s, 'y')} AS v" for f, s in SHORT.items()) +
-       f") SELECT feature, {r('v', 'target_distance_correlation', 8)}, CASE WHEN v > 0.005 THEN 'retained' ELSE 'low_target_distance_correlation' END AS drop_reason FROM v")
+@query("r182_target_distance_filter", f"""WITH {FOLD_SQL}, ty AS MATERIALIZED (SELECT * FROM tr WHERE y IS NOT NULL), {_distance_sql('ty', LONG | {'y': 'y'}, [(s, 'y') for s in SHORT.values()])}
+  SELECT "left" AS feature, {r('v', 'target_distance_correlation', 8)}, CASE WHEN v > 0.005 THEN 'retained' ELSE 'low_target_distance_correlation' END AS drop_reason FROM dc""")
 def _(spark, d):
-    vectors = SL.feature_vectors(_small(spark, d), [*FEATURES, K.WEEK_NET])
-    names = vectors.where(F.col("feature") != K.WEEK_NET).select("feature")
-    return out(SL.target_distance_filter(names, vectors, K.WEEK_NET), ["target_distance_correlation"], keep=("feature", "drop_reason"), digits=8)
+    metrics = PairMetrics(_train(spark, d).where(F.col(K.WEEK_NET).isNotNull()), [*FEATURES, K.WEEK_NET])
+    names = spark.createDataFrame([(f,) for f in FEATURES], "feature string")
+    return out(SL.target_distance_filter(names, metrics, K.WEEK_NET), ["target_distance_correlation"], keep=("feature", "drop_reason"), digits=8)
 
 
 # Redundant copies: a monotone transform of each feature must lose to its better-ranked original.
@@ -195,41 +189,41 @@ def _ranked_board(spark, names):
     return SL.named(board)
 
 
-@query("r183_greedy_redundancy_pruning", f"""WITH {SAMPLE_SQL} SELECT feature, stage_level, decision, reference_feature FROM (VALUES {", ".join(
+@query("r183_greedy_redundancy_pruning", f"""WITH {FOLD_SQL} SELECT feature, stage_level, decision, reference_feature FROM (VALUES {", ".join(
     f"('{f}', 'stem', 'keep', NULL), ('{c}', 'stem', 'drop', '{f}'), ('{f}', 'family', 'keep', NULL), ('{f}', 'global', 'keep', NULL)" for f, c in zip(FEATURES, COPIES))}) t(feature, stage_level, decision, reference_feature)
-  WHERE (SELECT count(*) FROM sm) > 0""")
+  WHERE (SELECT count(*) FROM tr) > 0""")
 def _(spark, d):
-    sample = _with_copies(_sample(_train(spark, d)))
-    _kept, audit = SL.prune_redundant(_ranked_board(spark, [*FEATURES, *COPIES]), SL.feature_vectors(sample, [*FEATURES, *COPIES]), "spearman", SL.LINEAR_THRESHOLD)
+    metrics = PairMetrics(_with_copies(_train(spark, d)), [*FEATURES, *COPIES])
+    _kept, audit = SL.prune_redundant(_ranked_board(spark, [*FEATURES, *COPIES]), metrics, "spearman", SL.LINEAR_THRESHOLD)
     return audit.select("feature", "stage_level", "decision", "reference_feature")
 
 
 @query("r184_connected_component_pruning")
 def _(spark, d):
-    sample = _with_copies(_small(spark, d))
-    return out(SL.prune_correlated(sample, [*FEATURES, *COPIES], K.WEEK_NET), keep=("feature", "component", "keep"))
+    known = _with_copies(_train(spark, d).where(F.col(K.WEEK_NET).isNotNull()))
+    return out(SL.prune_correlated(known, [*FEATURES, *COPIES], K.WEEK_NET), keep=("feature", "component", "keep"))
 
 
-@query("r185_feature_grouping", f"""WITH {SAMPLE_SQL} SELECT feature, feature_family, feature_stem, feature_family || ':' || feature_stem || ':0:1' AS group_id FROM (
-  SELECT feature, 'quant' AS feature_family, regexp_replace(feature, '_(?:lag_)?[0-9]+d?$', '') AS feature_stem FROM (VALUES {", ".join(f"('{f}')" for f in [*FEATURES, *COPIES])}) t(feature)) WHERE (SELECT count(*) FROM sm) > 0""")
+@query("r185_feature_grouping", f"""WITH {FOLD_SQL} SELECT feature, feature_family, feature_stem, feature_family || ':' || feature_stem || ':0:1' AS group_id FROM (
+  SELECT feature, 'quant' AS feature_family, regexp_replace(feature, '_(?:lag_)?[0-9]+d?$', '') AS feature_stem FROM (VALUES {", ".join(f"('{f}')" for f in [*FEATURES, *COPIES])}) t(feature)) WHERE (SELECT count(*) FROM tr) > 0""")
 def _(spark, d):
     names = [*FEATURES, *COPIES]
-    vectors = SL.feature_vectors(_with_copies(_sample(_train(spark, d))), names)
-    return SL.group_features(SL.named(vectors.select("feature")), vectors).select("feature", "feature_family", "feature_stem", "group_id")
+    metrics = PairMetrics(_with_copies(_train(spark, d)), names)
+    return SL.group_features(SL.named(spark.createDataFrame([(n,) for n in names], "feature string")), metrics).select("feature", "feature_family", "feature_stem", "group_id")
 
 
 @query("r185_feature_grouping_split")
 def _(spark, d):
     """Buckets above the size are cut by correlation; a size of one splits every stem pair."""
     names = [*FEATURES, *COPIES]
-    vectors = SL.feature_vectors(_with_copies(_sample(_train(spark, d))), names)
-    return SL.group_features(SL.named(vectors.select("feature")), vectors, size=1).select("feature", "group_id")
+    metrics = PairMetrics(_with_copies(_train(spark, d)), names)
+    return SL.group_features(SL.named(spark.createDataFrame([(n,) for n in names], "feature string")), metrics, size=1).select("feature", "group_id")
 
 
 @query("r186_forward_group_search")
 def _(spark, d):
     df = _train(spark, d)
-    chosen, history = SL.search_groups(df, _folds(df), {f: [f] for f in FEATURES}, K.WEEK_NET, K.WEEK_NET, max_rounds=2, top_fraction=0.1)
+    chosen, history = SL.search_groups(df, _folds(df), {f: [f] for f in FEATURES}, K.WEEK_NET, K.WEEK_NET, top_fraction=0.1)
     rows = [(h["state"], float(h["objective_score"]), bool(h["passes_gates"]), set(h["state"].split("|")) == set(chosen)) for h in history]
     return spark.createDataFrame(rows, "state string, objective_score double, passes_gates boolean, chosen boolean")
 
@@ -237,7 +231,7 @@ def _(spark, d):
 @query("r188_selection_pipeline")
 def _(spark, d):
     df = _train(spark, d)
-    result = SL.select_features(df, _folds(df), FEATURES, FOLDS, lambda n: _sample(df, min(n, SAMPLE)), K.WEEK_NET, K.WEEK_NET, 0.1)
+    result = SL.select_features(df, _folds(df), FEATURES, FOLDS, K.WEEK_NET, K.WEEK_NET, 0.1)
     return result["report"].select("feature", "passes_sfi", "selected_linear", "selected_distance", "selected", "selection_rank", "drop_reason")
 
 
