@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage, scratch_folder
 
-__all__ = ["BATCH_BYTES", "CHUNK_BYTES", "WORD", "bounded_batches", "chunks", "column_like", "cut_lineage", "documents", "fixed_schema", "kept_in_worker", "lower_ascii", "mix64",
+__all__ = ["BATCH_BYTES", "CHUNK_BYTES", "WORD", "Recent", "bounded_batches", "chunks", "column_like", "cut_lineage", "documents", "fixed_schema", "gather", "kept_in_worker", "lower_ascii", "mix64",
            "scratch_folder", "table", "utf8", "word_count", "words_in"]
 
 #: A word: anything but the six white-space bytes of ASCII.
@@ -155,3 +155,29 @@ def kept_in_worker(key: object, make: Callable[[], Any]) -> Any:
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+class Recent:
+    """A dictionary of two generations: when the younger is full it becomes the older, whose unused entries go."""
+
+    def __init__(self, size: int) -> None:
+        self.young, self.old, self.size = {}, {}, size // 2
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
+def gather(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size[i]`` values from ``at[i]`` on, for all i in a row."""
+    before = np.cumsum(size) - size
+    return values[np.repeat(at - before, size) + np.arange(int(size.sum()))]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import column_like, fixed_schema, kept_in_worker, utf8
+from panelspark.llm.common import Recent, column_like, fixed_schema, gather, kept_in_worker, utf8
 
 #: Text that a task handles at once; a longer single text is a chunk of its own.
 CHUNK = 2 << 20
@@ -53,26 +53,6 @@ def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
-class Recent:
-    """A dictionary of two generations: when the younger is full it becomes the older, whose unused entries go."""
-
-    def __init__(self, size: int) -> None:
-        self.young, self.old, self.size = {}, {}, size // 2
-
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.size:
-            self.young, self.old = {}, self.young
-        self.young[key] = value
-
-
 class Pieces:
     """Pieces of a model file, the automaton that finds them and the tables of both directions."""
 
@@ -298,12 +278,6 @@ class Pieces:
         return out
 
 
-def gather(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``size[i]`` values from ``at[i]`` on, for all i in a row."""
-    before = np.cumsum(size) - size
-    return values[np.repeat(at - before, size) + np.arange(int(size.sum()))]
-
-
 def opened(content: bytes) -> Pieces:
     """The model, built once per Python process."""
     return kept_in_worker(("pieces", hashlib.sha256(content).digest()), lambda: Pieces(content))

@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from panelspark.llm import pieces
+from panelspark.llm import common, pieces
 from tests.llm.data import awkward, frame, multiset
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -86,7 +86,7 @@ def test_a_model_of_another_kind_is_refused():
 
 
 def test_the_memory_of_fragments_is_bounded():
-    recent = pieces.Recent(8)
+    recent = common.Recent(8)
     for i in range(100):
         recent.put(i, i)
         recent.get(0)
