@@ -222,6 +222,15 @@ def close_links(prints: DataFrame, radius: int = 4, tile: int = TILE) -> DataFra
     return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_link_runs(radius), "a long, b long")
 
 
+def grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """``fp``, ``label`` (the least fingerprint it reaches) and ``component_id`` (the least key) of the fingerprints in ``prints`` (``_key``, ``fp``)."""
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("_key").alias("least")), "distinct_fingerprints")
+    labels = components(close_links(nodes.select("fp"), radius))
+    named = cut_lineage(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
+    ids = cut_lineage(named.groupBy("label").agg(F.min("least").alias("component_id")), "component_ids")
+    return cut_lineage(named.select("fp", "label").join(ids, "label").select("fp", "label", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """``key``, ``fingerprint`` (16 hex digits) and ``component_id`` for every row.
 
@@ -231,25 +240,24 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows has a NULL id.  Equal rows stay separate rows; an empty table gives an empty table.
     """
     prints = cut_lineage(docs.select(column_like(docs, key).alias("_key"), fingerprint(column_like(docs, text), words).alias("fp")), "fingerprints")
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("_key").alias("least")), "distinct_fingerprints")
-    labels = components(close_links(nodes.select("fp"), radius))
-    named = cut_lineage(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
-    ids = cut_lineage(named.groupBy("label").agg(F.min("least").alias("component_id")), "component_ids")
-    by_print = cut_lineage(named.select("fp", "label").join(ids, "label").select("fp", "component_id"), "components")
+    by_print = grouped(prints, radius).select("fp", "component_id")
     return prints.join(by_print, "fp").select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """The row of the least key of every component, with all columns of ``docs``.
 
-    Of rows that share that key one stays.  A component of rows with NULL keys only keeps one row of each
-    fingerprint; beside keyed rows NULL keys go.
+    Of rows that share that key the one of least fingerprint stays, then of least text hash, then any of equal rows; a key whose texts are in
+    several components can stay in each.  A component of rows with NULL keys only keeps one row of each
+    fingerprint; beside keyed rows NULL keys go.  Texts of equal 64-bit hash count as equal.
     """
-    chosen = (near_duplicates(docs, key=key, text=text, words=words, radius=radius)
-              .select(F.col("component_id").alias("_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_fp")).distinct())
-    chosen = cut_lineage(chosen, "kept")
-    row = F.struct(*[column_like(docs, c) for c in docs.columns]).alias("_row")
-    keyed = docs.select(row, column_like(docs, key).alias("_id")).join(chosen.select("_id"), "_id").dropDuplicates(["_id"])
-    loose = docs.where(column_like(docs, key).isNull()).select(row, F.lower(F.lpad(F.hex(fingerprint(column_like(docs, text), words)), 16, "0")).alias("_fp"))
-    loose = loose.join(chosen.where("_id IS NULL").select("_fp"), "_fp").dropDuplicates(["_fp"])
-    return keyed.select("_row.*").unionByName(loose.select("_row.*"))
+    name, body = column_like(docs, key).alias("_key"), column_like(docs, text)
+    same = F.xxhash64(body.isNull(), body).alias("_text")
+    prints = cut_lineage(docs.select(name, fingerprint(body, words).alias("fp"), same), "fingerprints")
+    members = prints.join(grouped(prints, radius), "fp")
+    first = members.where("_key IS NOT NULL").groupBy("label").agg(F.min(F.struct("_key", "fp", "_text")).alias("m")).select("m._key", "m._text")
+    loose = members.where("component_id IS NULL").groupBy("fp").agg(F.max("_key").alias("_key"), F.min("_text").alias("_text")).select("_key", "_text")
+    chosen = cut_lineage(first.unionByName(loose), "kept").select(F.col("_key").alias("_kept_key"), F.col("_text").alias("_kept_text"))
+    rows = docs.select(F.struct(*[column_like(docs, c) for c in docs.columns]).alias("_row"), name, same)
+    kept = rows.join(chosen, F.col("_key").eqNullSafe(F.col("_kept_key")) & (F.col("_text") == F.col("_kept_text")), "left_semi")
+    return kept.dropDuplicates(["_key", "_text"]).select("_row.*")

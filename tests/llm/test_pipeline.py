@@ -26,9 +26,9 @@ def test_stage_names_and_columns(spark, tmp_path):
     for r, g in zip(kept, root):
         if r[0] is not None:
             least[g] = min(least.get(g, r[0]), r[0])
-    for r, g, p in zip(kept, root, prints):
-        if r[0] in least.values():
-            one[r[0]] = r
+    for r, g, p in sorted(zip(kept, root, prints), key=lambda x: x[2] - (x[2] >> 63 << 64)):
+        if r[0] is not None and r[0] == least[g]:
+            one.setdefault(g, r)
         elif r[0] is None and g not in least:
             one["loose", p] = r
     kept = list(one.values())

@@ -94,3 +94,14 @@ def test_keep_one(spark):
     ids = sorted((r["doc_id"] for r in kept if r["doc_id"] is not None))
     assert ids == sorted({c for _, _, c in brute(rows) if c is not None})
     assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(frame(spark, [])).count() == 0
+
+
+def test_one_key_with_two_texts_loses_none(spark):
+    a, b = "one text of several words that stays the same", "quite another one without any shared shingle at all here"
+    rows = [(3, a), (7, a), (7, b), (None, a), (None, "only without a key and long enough to count"), (None, "only without a key and long enough to count"),
+            (9, None), (9, ""), (9, "!")]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, _key string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()]
+    assert sorted(map(repr, kept[:])) == sorted(map(repr, [(3, a), (7, b), (None, rows[4][1]), (9, next(t for k, t in kept if k == 9 and t != "!")), (9, "!")]))
+    twins = spark.createDataFrame([(7, a), (7, b)], "doc_id long, text string")
+    assert {r["text"] for r in simhash.keep_one(twins).collect()} == {a, b}
