@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import column_like
+from panelspark.llm.common import column_like, cut_lineage
 
 #: Number of virtual slots; fixed for the life of a store, and the proven size of every slot table.
 SLOTS = 4096
@@ -41,6 +42,32 @@ def first_map(sizes: DataFrame, shards: int) -> DataFrame:
                                    (-F.col("p.slots.b")).alias("slot_bytes"), F.col("p.slots.n").alias("slot_rows"))
 
 
+def all_slots(used: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """A first map with the slots that no record uses yet, dealt out in turn."""
+    unused = used.sparkSession.range(slots).select(F.col("id").cast("int").alias("virtual_slot")).join(used, "virtual_slot", "left_anti")
+    return used.unionByName(unused.select(F.lit(0).alias("version"), "virtual_slot", F.pmod("virtual_slot", F.lit(shards)).cast("int").alias("shard"),
+                                          F.lit(0).cast("long").alias("slot_bytes"), F.lit(0).cast("long").alias("slot_rows")))
+
+
+def present_map(sizes: DataFrame, folder: str, shards: int, slots: int = SLOTS) -> DataFrame:
+    """The map in ``folder`` that holds for the present sizes: a first version where there is none, the latest one where it was made for the
+    same sizes and shards, and else its rebalanced successor."""
+    spark = sizes.sparkSession
+    try:
+        latest = load_map(spark, folder)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing.getCondition()):
+            raise
+        save_map(all_slots(first_map(sizes, shards), shards, slots), folder)
+        return load_map(spark, folder)
+    was, now = latest.select("virtual_slot", "slot_bytes", "slot_rows").where("slot_rows > 0"), sizes.select("virtual_slot", "slot_bytes", "slot_rows")
+    same_shards = latest.select("shard").distinct().count() == shards and latest.where(F.col("shard") >= shards).isEmpty()
+    if not (same_shards and was.exceptAll(now).isEmpty() and now.exceptAll(was).isEmpty()):
+        save_map(cut_lineage(rebalance(latest, sizes, shards), "next_map"), folder)
+        latest = load_map(spark, folder)
+    return latest
+
+
 def rebalance(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     """The next version of the map for ``shards`` shards and the present slot sizes.
 
@@ -93,7 +120,8 @@ def shard(docs: DataFrame, folder: str, shards: int = 24, *, key: str = "doc_id"
     slot, and the map from slots to shards, kept in ``folder``, makes the shards' bytes near equal.  ``slot`` is the place
     of the row in its shard, without gaps: the rows of the shard's earlier virtual slots, then the order
     by key inside the virtual slot, so no shard is sorted in one task.  ``grown_shard`` is NULL under
-    this law; a store that grows takes its next map from ``rebalance``.
+    this law.  A folder that already holds a map keeps it: where sizes or the number of shards have changed since, ``rebalance`` edits it
+    into its next version, and only the slots that it moves change their shard; ``docs`` are all records of the store.
 
     Size: bytes of the text plus 8 (NULL text: 8); NULL keys are hashed like any other.  Equal rows get
     places next to each other.  An empty table gives an empty table; input columns named as a result
@@ -104,9 +132,10 @@ def shard(docs: DataFrame, folder: str, shards: int = 24, *, key: str = "doc_id"
     rows = docs.select(F.struct(*[column_like(docs, c) for c in docs.columns if c not in added]).alias("_row"), name.alias("_key"),
                        (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
                        slot_of(name, body, slots=slots).alias("virtual_slot"))
-    save_map(first_map(slot_sizes(rows, "virtual_slot", "size"), shards), folder)
+    sizes = cut_lineage(slot_sizes(rows, "virtual_slot", "size"), "slot_sizes")
+    now = present_map(sizes, folder, shards, slots)
     earlier = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (load_map(docs.sparkSession, folder).withColumn("_offset", F.coalesce(F.sum("slot_rows").over(earlier), F.lit(0)))
+    placed = (now.select("virtual_slot", "shard").join(F.broadcast(sizes), "virtual_slot").withColumn("_offset", F.coalesce(F.sum("slot_rows").over(earlier), F.lit(0)))
               .select("virtual_slot", "shard", "_offset"))
     inside = Window.partitionBy("virtual_slot").orderBy("_key", "text_crc32", "size")
     # The map has at most ``slots`` rows of three numbers, whatever the input.

@@ -54,3 +54,34 @@ def test_map_is_largest_first_and_rebalance_moves_little(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert sharding.shard(frame(spark, []), str(tmp_path / "map")).count() == 0
+
+
+def test_a_store_that_grows_edits_its_map(spark, tmp_path):
+    folder = str(tmp_path / "map")
+
+    def docs(n):
+        return spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
+
+    def shards_of(n, shards):
+        out = {r["doc_id"]: (r["shard"], r["slot"], r["size"]) for r in sharding.shard(docs(n), folder, shards).collect()}
+        assert len(out) == n
+        for s in range(shards):
+            mine = [v for v in out.values() if v[0] == s]
+            assert sorted(v[1] for v in mine) == list(range(len(mine)))
+        return out
+
+    def versions():
+        return spark.read.parquet(folder).select("version").distinct().count()
+    first = shards_of(1000, 6)
+    assert shards_of(1000, 6) == first and versions() == 1  # nothing changed
+    assert spark.read.parquet(folder).count() == sharding.SLOTS
+    more = shards_of(30_000, 6)
+    assert versions() == 2 and sharding.load_map(spark, folder).count() == sharding.SLOTS
+    wider = shards_of(30_000, 7)
+    assert versions() == 3
+    moved = [d for d in wider if wider[d][0] != more[d][0]]
+    assert sum(wider[d][2] for d in moved) < 1.5 * sum(v[2] for v in wider.values()) / 7
+    load = [sum(v[2] for v in wider.values() if v[0] == s) for s in range(7)]
+    assert max(load) < 1.2 * sum(load) / 7
+    fewer = shards_of(30_000, 4)
+    assert {v[0] for v in fewer.values()} == set(range(4)) and versions() == 4
