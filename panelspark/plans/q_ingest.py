@@ -286,14 +286,14 @@ def _(spark, d):
     rows, tickers = df.agg(F.count("*"), F.count_distinct(TICKER)).first()
     path = scratch_folder(spark, "lagged")
     W.write_checked(M.add_feature_lags(df), path, rows, tickers)
-    return out(spark.read.parquet(path), ["quant_intraday_return_lag_1d"], digits=4)
+    return out(W.read_published(spark, path), ["quant_intraday_return_lag_1d"], digits=4)
 
 
 @query("r021_split_sink", f"""WITH {SPLIT_SQL} SELECT dataset_split, count(*) AS rows, count(*) AS rows_in_own_file FROM bars JOIN dsp USING (date) GROUP BY 1""")
 def _(spark, d):
     root = _split_path(spark, d)
     whole = spark.read.parquet(f"{root}/all").groupBy(SPLIT).agg(F.count("*").alias("rows"))
-    parts = [spark.read.parquet(f"{root}/{s}").groupBy(SPLIT).agg(F.count("*").alias("rows_in_own_file")) for s in ("train", "val", "test")]
+    parts = [W.read_split(spark, root, s).groupBy(SPLIT).agg(F.count("*").alias("rows_in_own_file")) for s in ("train", "val", "test")]
     return whole.join(parts[0].unionByName(parts[1]).unionByName(parts[2]), SPLIT)
 
 

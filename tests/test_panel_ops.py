@@ -162,6 +162,8 @@ def test_error_contracts(spark, tmp_path):
         SC.load_panel(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError, match="incomplete"):
         W.write_checked(df, str(tmp_path / "out"), 3, 1)
+    with pytest.raises(ValueError, match="nothing is published"):
+        W.read_published(spark, str(tmp_path / "out"))
     bad = spark.createDataFrame([("A", "2020-01-01", "noon", 2020, 1)], "ticker string, announcement_date string, announcement_session string, fiscal_year int, fiscal_quarter int")
     with pytest.raises(Exception, match="noon"):
         SC.earnings_events(bad).collect()
@@ -219,3 +221,22 @@ def test_open_intervals_are_clipped_to_the_sessions(spark):
     got = sorted((x["ticker"], str(x["date"])) for x in J.expand_intervals(spells, sessions).collect())
     assert got == [("A", d) for d in days] + [("B", d) for d in days[1:]]
     assert J.expand_intervals(spells, sessions.limit(0)).count() == 0
+
+
+def test_a_failed_check_leaves_the_published_version(spark, tmp_path):
+    path = str(tmp_path / "out")
+    first = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "ticker string, x double")
+    W.write_checked(first, path, 2, 2)
+    for rows, tickers in ((3, 2), (2, 1)):
+        with pytest.raises(ValueError, match="incomplete"):
+            W.write_checked(first.withColumn("x", F.lit(9.0)), path, rows, tickers)
+    assert sorted(r["x"] for r in W.read_published(spark, path).collect()) == [1.0, 2.0] and W.published(spark, path)[0] == 1
+    W.write_checked(first.limit(1), path, 1, 1)
+    assert W.read_published(spark, path).count() == 1 and W.published(spark, path)[0] == 2
+
+
+def test_a_split_is_a_view_of_the_one_table(spark, tmp_path):
+    df = spark.createDataFrame([(1, "train"), (2, "train"), (3, "val")], "x int, dataset_split string")
+    W.write_splits(df, str(tmp_path))
+    assert [W.read_split(spark, str(tmp_path), s).count() for s in ("train", "val", "test")] == [2, 1, 0]
+    assert set(W.read_split(spark, str(tmp_path), "test").columns) == {"x", "dataset_split"}
