@@ -25,6 +25,8 @@ END = np.uint64(0x5E2D58D8B3BCDEE8)
 FILE_TOKENS = 1 << 20
 #: Smallest stored log10 and the step between codes of one byte.
 FLOOR, STEP = -10.2, 0.04
+#: Text that is counted or scored at once: the larger, the fewer of its words and pairs are looked up again, and the fewer blocks meet each file.
+BLOCK_BYTES = 4 << 20
 #: Distinct pairs a task holds before it hands them on.
 HELD = 1 << 22
 
@@ -86,7 +88,7 @@ class _Tally:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tally = _Tally()
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, "text", BLOCK_BYTES):
             yield from tally.add(_signed(tokens(part, "text")[0]))
     yield from tally.flush()
 
@@ -217,7 +219,7 @@ def _count_pairs(words: Words, files: int):
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(to)], names=["key", "n", "file"])
 
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, "text", BLOCK_BYTES):
                 hashes, counts = tokens(part, "text")
                 distinct, _, where = level.lookup(hashes)
                 ids = distinct[where]
@@ -378,7 +380,7 @@ def score(docs: DataFrame, trie: Trie, *, key: str = "doc_id", text: str = "text
         trie.words.open()
         trie.pairs.open()
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", BLOCK_BYTES):
                 hashes, counts = tokens(part, "_text")
                 known, base, full = trie.score(hashes, counts)
                 columns = [pa.array(counts), pa.array(known), pa.array(np.full(len(counts), total)), pa.array(base), pa.array(full)]
