@@ -87,28 +87,29 @@ def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def within(left: np.ndarray, right: np.ndarray, dead: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes (as bits) whose fingerprints differ in ``radius`` bits or fewer; radius at most 7.
+    """Lanes (as bits) whose fingerprints differ in ``radius`` bits or fewer; radius at most 63.
 
     ``left`` and ``right`` are planes that broadcast against each other.  Differences are counted in three
-    bit-sliced counters, four planes at a time; the block is abandoned once every lane is beyond the radius.
+    bit-sliced counters (more for a radius above 7), four planes at a time; the block is abandoned once every lane is beyond the radius.
     """
     over = dead.copy()
-    ones, twos, fours = np.zeros_like(over), np.zeros_like(over), np.zeros_like(over)
+    counters = [np.zeros_like(over) for _ in range(max(3, radius.bit_length()))]
     far = over
     for b in range(0, 64, 4):
         x = [left[b + j] ^ right[b + j] for j in range(4)]
-        ones, t = _add(ones, x[0], x[1])
-        ones, u = _add(ones, x[2], x[3])
-        twos, f = _add(twos, t, u)
-        over |= fours & f
-        fours ^= f
+        counters[0], t = _add(counters[0], x[0], x[1])
+        counters[0], u = _add(counters[0], x[2], x[3])
+        counters[1], carry = _add(counters[1], t, u)
+        for c in range(2, len(counters)):
+            counters[c], carry = counters[c] ^ carry, counters[c] & carry
+        over |= carry
         if b % 8 == 4:
             above, equal = np.zeros_like(over), ~np.zeros_like(over)
-            for counter, limit in ((fours, radius & 4), (twos, radius & 2), (ones, radius & 1)):
-                if limit:
-                    equal = equal & counter
+            for c in reversed(range(len(counters))):
+                if radius >> c & 1:
+                    equal = equal & counters[c]
                 else:
-                    above, equal = above | (equal & counter), equal & ~counter
+                    above, equal = above | (equal & counters[c]), equal & ~counters[c]
             far = over | above
             if bool(np.all(far == ~np.uint64(0))):
                 break

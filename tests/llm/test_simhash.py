@@ -71,11 +71,11 @@ def test_links_join_what_all_pairs_join(spark, tile):
     assert all(near[at[r["a"]], at[r["b"]]] or tile > 0 for r in links)
 
 
-@pytest.mark.parametrize("radius", range(8))
+@pytest.mark.parametrize("radius", [*range(8), 8, 15, 20, 33])
 def test_bit_sliced_counters(radius):
     rng = np.random.default_rng(radius)
     a = rng.integers(0, 1 << 64, 333, dtype=np.uint64)
-    b = a ^ np.array([sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 12), replace=False)) for _ in a], np.uint64)
+    b = a ^ np.array([sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 12 + radius), replace=False)) for _ in a], np.uint64)
     got = simhash._lanes(simhash.within(simhash.planes(a), simhash.planes(b), simhash._spare(len(a)), radius), len(a))
     assert (got == (np.bitwise_count(a ^ b) <= radius)).all()
 
