@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import bpe, lines, mixing, simhash, toxicity
+from panelspark.llm import bpe, lines, mixing, nearcopies, toxicity
 from panelspark.llm.common import bounded_batches, cut_lineage, table, word_count
 
 
@@ -25,9 +25,9 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies the document of least id stays; fingerprints of five-word shingles."""
+    """No two documents that stay have five-word shingle sets of similarity 0.8 or more; each that goes has one that stays."""
     bounded_batches(spark)
-    return simhash.keep_one(docs, words=5)
+    return nearcopies.keep_dissimilar(docs, words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
