@@ -1,9 +1,9 @@
 import corpus_pipeline
-from panelspark.llm import bpe, lines, mixing, simhash, toxicity
+from panelspark.llm import bpe, lines, mixing, nearcopies, toxicity
 from panelspark.llm.common import BATCH_BYTES, bounded_batches, word_count
 from tests.llm.data import awkward, frame, multiset
 from tests.llm.test_lines import brute as line_brute
-from tests.llm.test_simhash import fingerprint, groups
+from tests.llm.test_nearcopies import check
 from tests.llm.test_toxicity import corpus
 
 
@@ -20,18 +20,9 @@ def test_stage_names_and_columns(spark, tmp_path):
     assert 0 < len(rows) - len(kept) < len(rows) / 2
     changed = line_brute(kept, lines.RUN)
     kept = [(r[0], changed[r[0], r[1]][0], r[2], r[3], None if r[1] is None else len(changed[r[0], r[1]][0])) for r in kept]
-    prints = [fingerprint(r[1], 5) for r in kept]
-    near = [(i, j) for i in range(len(kept)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
-    least, one, root = {}, {}, groups(len(kept), near)
-    for r, g in zip(kept, root):
-        if r[0] is not None:
-            least[g] = min(least.get(g, r[0]), r[0])
-    for r, g, p in sorted(zip(kept, root, prints), key=lambda x: x[2] - (x[2] >> 63 << 64)):
-        if r[0] is not None and r[0] == least[g]:
-            one.setdefault(g, r)
-        elif r[0] is None and g not in least:
-            one["loose", p] = r
-    kept = list(one.values())
+    rest = [tuple(r) for r in nearcopies.keep_dissimilar(frame(spark, kept)).collect()]
+    check(kept, rest)
+    kept = rest
     mixed = mixing.repeat_rows(mixing.mix(frame(spark, kept), word_count("text"), mixing.cycle_weights(3, 1, 2))).collect()
     words = bpe.Vocabulary(bpe.default_vocabulary(spark))
     want = [(r["doc_id"], r["source"], r["n_chars"], len(words.encode(r["text"] or "")), words.encode(r["text"] or "")) for r in mixed]
