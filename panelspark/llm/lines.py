@@ -59,11 +59,11 @@ def repeated_runs(docs: DataFrame, run: int = RUN, long: int = LONG, *, key: str
     windows = cut_lineage(_windows(rows, run, long), "line_windows")
     place = F.struct("_key", "_hash", "_anchor_at")
     positions = windows.groupBy("_anchor").agg(F.min(place).alias("_low"), F.max(place).alias("_high")).where("_low < _high").select("_anchor")
-    # Both sides of these joins are stored tables, so a hot anchor or window can be split among tasks.
-    found = windows.join(cut_lineage(positions, "line_anchors"), "_anchor", "left_semi")
+    # Both sides of these joins are stored tables, so a hot anchor or window can be split among tasks; they are merged at every size.
+    found = cut_lineage(windows.join(cut_lineage(positions, "line_anchors").hint("merge"), "_anchor", "left_semi"), "anchored_windows")
     first = found.groupBy("_window").agg(F.min(F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_hash").alias("h"),
                                                         F.col("_i").alias("i"))).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1")
-    later = found.join(cut_lineage(first.drop("_times"), "first_windows"), "_window")
+    later = found.join(cut_lineage(first.drop("_times"), "first_windows").hint("merge"), "_window")
     same = F.col("_key").eqNullSafe(F.col("_first.k")) & (F.col("_hash") == F.col("_first.h"))
     later = later.where(~same | (F.col("_i") >= F.col("_first.i") + F.col("_size"))).select("_key", "_hash", "_i", "_size", "_start", "_end").distinct()
     doc = Window.partitionBy("_key", "_hash").orderBy("_i", "_size")
@@ -91,7 +91,7 @@ def remove_repeated_runs(docs: DataFrame, run: int = RUN, long: int = LONG, *, k
             .groupBy("_key", "_hash").agg(F.sort_array(F.collect_list(F.struct("_start", "_end"))).alias("_runs"))
             .withColumnRenamed("_key", "_k").withColumnRenamed("_hash", "_h"))
     rows = _identity(docs, key, text)
-    joined = rows.join(runs, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
+    joined = rows.join(runs.hint("merge"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
     split = joined.withColumn("_lines", F.split("_text", "\n", -1))
     removed = F.aggregate("_runs", F.lit(0), lambda n, r: n + r["_end"] - r["_start"])
     fresh = F.when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(_kept(F.col("_lines"), F.col("_runs")), "\n"))
