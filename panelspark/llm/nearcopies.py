@@ -43,8 +43,10 @@ def _least(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     full = counts > 0
     edge = (np.cumsum(counts) - counts)[full]
     keys = np.zeros((int(full.sum()), BANDS), np.uint64)
+    turned = np.empty_like(found)
     for i in range(BANDS * ROWS):
-        least = np.minimum.reduceat((found ^ _FLIP[i]) * _TIMES[i], edge) if len(edge) else np.zeros(0, np.uint64)
+        np.multiply(np.bitwise_xor(found, _FLIP[i], out=turned), _TIMES[i], out=turned)
+        least = np.minimum.reduceat(turned, edge) if len(edge) else np.zeros(0, np.uint64)
         keys[:, i // ROWS] = mix64(keys[:, i // ROWS] + least + np.uint64(i + 1))
     return keys
 
@@ -128,13 +130,16 @@ def removed_nodes(buckets: DataFrame, sets: DataFrame, similarity: float, radius
         waiting = both.where("lready").select("node", "fp", "leader", "lfp").unionByName(
             both.where("NOT lready").join(ready, "node", "left_semi").select("node", "fp", "leader", "lfp")).distinct()
         near = cut_lineage(waiting.mapInArrow(_close(radius), "node long, leader long"), "near_pairs")
-        met = near.join(sets, "node").withColumnRenamed("grams", "mine").join(sets.select(F.col("node").alias("leader"), F.col("grams").alias("other")), "leader")
+        wanted = sets.join(near.select(F.col("leader").alias("node")).distinct(), "node", "left_semi")
+        met = near.join(sets, "node").withColumnRenamed("grams", "mine").join(wanted.select(F.col("node").alias("leader"), F.col("grams").alias("other")), "leader")
         shared = F.size(F.array_intersect("mine", "other"))
         similar = cut_lineage(met.where(shared >= similarity * (F.size("mine") + F.size("other") - shared)).select("node", "leader"), "similar_pairs")
         stays = cut_lineage(ready.join(similar, "node", "left_anti"), "staying")
         goes = cut_lineage(similar.join(stays.withColumnRenamed("node", "leader"), "leader", "left_semi").select("node").distinct(), "going")
         gone.append(goes)
-        left = cut_lineage(left.join(stays.unionByName(goes), "node", "left_anti"), "buckets_left")
+        decided = stays.unionByName(goes)
+        left = cut_lineage(left.join(decided, "node", "left_anti"), "buckets_left")
+        sets = cut_lineage(sets.join(decided, "node", "left_anti"), "sets_left")
         leaders = min(2 * leaders, LEADERS)
     out = buckets.select("node").limit(0)
     for goes in gone:
