@@ -7,7 +7,9 @@ number of them costs one sort per ticker.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -15,13 +17,24 @@ from panelspark.contract import DATE, TICKER
 from panelspark.functions.scalar import col, ratio
 
 
-def ticker_window(by: tuple[str, ...] = (TICKER,), order: tuple[str, ...] = (DATE,)) -> WindowSpec:
+# A spec is a handful of calls to the JVM and the families ask for the same few a thousand times, so specs are kept per JVM.
+@lru_cache(maxsize=256)
+def _ticker_window(by: tuple[str, ...], order: tuple[str, ...], gateway) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
 
 
+@lru_cache(maxsize=1024)
+def _last_rows(n: int, end: int, gateway) -> WindowSpec:
+    return ticker_window().rowsBetween(end - n + 1, end)
+
+
+def ticker_window(by: tuple[str, ...] = (TICKER,), order: tuple[str, ...] = (DATE,)) -> WindowSpec:
+    return _ticker_window(by, order, SparkContext._gateway)
+
+
 def last_rows(n: int, end: int = 0) -> WindowSpec:
     """Frame of ``n`` rows that ends ``end`` rows from the current one (0 = current row)."""
-    return ticker_window().rowsBetween(end - n + 1, end)
+    return _last_rows(n, end, SparkContext._gateway)
 
 
 def lag(c: Column | str, k: int = 1) -> Column:

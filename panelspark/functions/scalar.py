@@ -14,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(name: str) -> str:
+    """A column name for SQL text, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def flag(condition: Column) -> Column:
     """A comparison with a missing side is false."""
     return F.coalesce(condition, F.lit(False))

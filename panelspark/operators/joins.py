@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from panelspark.contract import DATE, KEY, TICKER
 from panelspark.operators.calendars import distinct_dates, session_index, sessions_until
 
 FAR = 252.0
+FOREVER = 2**31 - 2  # the last day of an open validity, in days since 1970
 
 
 def merge_date_frames(frames: list[DataFrame]) -> DataFrame:
@@ -95,21 +97,66 @@ def calendar_spine(prices: DataFrame, sessions: DataFrame, fill: list[str] | Non
     return out
 
 
+def _standing(versions: pd.DataFrame) -> pd.DataFrame:
+    """One symbol's versions -> the days from which another version stands (NULL start: none).
+
+    Versions are stacked by start; the top one stands until it ends or a later one starts, and every version is pushed and
+    popped once."""
+    ordered = versions.sort_values(["_start", "_open"], ascending=[True, False])
+    stack, changes = [], {}
+
+    def settle(until: int) -> None:
+        while stack and stack[-1][2] < until:
+            day = stack.pop()[2] + 1
+            while stack and stack[-1][2] < day:
+                stack.pop()
+            changes[day] = stack[-1] if stack else (None, None, None)
+
+    for row in zip(ordered["_start"].tolist(), ordered["_open"].tolist(), ordered["_end"].tolist()):
+        settle(row[0])
+        stack.append(row)
+        changes[row[0]] = row
+    settle(FOREVER)
+    return pd.DataFrame({
+        "_symbol": versions["_symbol"].iloc[0], "_since": list(changes), "_start": pd.array([x[0] for x in changes.values()], "Int32"),
+        "_open": pd.array([x[1] for x in changes.values()], "boolean")})
+
+
+def validity_pieces(specs: DataFrame, fields: list[str]) -> DataFrame:
+    """(_symbol, _since, _spec): each symbol's history cut once into pieces without overlap.
+
+    On a day the valid version of latest start stands (equal starts: the one of latest end, an open end last; then the larger fields);
+    ``_spec.found`` is false where none is valid.  Of versions with one start only the closed one of latest end and the open one
+    can ever stand, so a symbol has at most two versions a day before its history is walked."""
+    start, end = F.col("effective_from").cast("date"), F.col("effective_to").cast("date")
+    values = F.struct(*fields)
+    versions = (specs.where(start.isNotNull() & (end.isNull() | (start <= end)))
+                .groupBy(F.upper("symbol").alias("_symbol"), F.unix_date(start).alias("_start"), end.isNull().alias("_open"))
+                .agg(F.max(F.struct(F.unix_date(end).alias("end"), values.alias("values"))).alias("_best"))
+                .select("_symbol", "_start", "_open", F.coalesce("_best.end", F.lit(FOREVER)).alias("_end"), F.col("_best.values").alias("_values"))
+                .where(F.col("_symbol").isNotNull()))
+    pieces = versions.drop("_values").groupBy("_symbol").applyInPandas(_standing, "_symbol string, _since int, _start int, _open boolean")
+    return (pieces.join(versions.drop("_end"), ["_symbol", "_start", "_open"], "left")
+            .select("_symbol", "_since", F.struct(F.col("_start").isNotNull().alias("found"), F.col("_values").alias("values")).alias("_spec")))
+
+
 def validity_lookup(panel: DataFrame, specs: DataFrame, fields: list[str], default: dict[str, object] | None = None,
                     key: str = TICKER) -> DataFrame:
     """Most recent spec row valid on the row's date (equal validity: the larger fields win);
-    ``default`` fills rows without one, and without a default a missing spec is an error (raised when the row is evaluated)."""
-    s = specs.select(F.upper("symbol").alias("_symbol"), "effective_from", "effective_to",
-                     *[F.col(f).alias(f"_spec_{f}") for f in fields])
-    start, end = F.col("effective_from"), F.col("effective_to")
-    valid = (start <= F.col(DATE)) & (end.isNull() | (F.col(DATE) <= end))
-    candidates = (panel.select(*KEY).withColumn("_symbol", F.upper(key)).join(s, "_symbol").where(valid)
-                  .groupBy(*KEY).agg(F.max_by(F.struct(*[f"_spec_{f}" for f in fields]),
-                                              F.struct(start, F.coalesce(end.cast("string"), F.lit("")), *[f"_spec_{f}" for f in fields])).alias("_spec")))
-    out = panel.join(candidates, list(KEY), "left")
+    ``default`` fills rows without one, and without a default a missing spec is an error (raised when the row is evaluated).
+
+    Versions become pieces without overlap first, so a row meets one piece however many versions its symbol has."""
+    pieces = validity_pieces(specs, fields)
+    points = panel.select(*KEY, F.upper(key).alias("_symbol")).where("_symbol IS NOT NULL").distinct()
+    marks = (points.withColumn("_since", F.unix_date(DATE))
+             .unionByName(pieces.withColumn("_piece", F.lit(True)), allowMissingColumns=True))
+    # On one day the piece comes before the rows that it covers.
+    w = Window.partitionBy("_symbol").orderBy("_since", F.col("_piece").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    met = marks.withColumn("_spec", F.last("_spec", True).over(w)).where(F.col("_piece").isNull() & F.col("_spec.found"))
+    out = panel.join(met.groupBy(*KEY).agg(F.max("_spec").alias("_spec")), list(KEY), "left")
     columns = {}
     for f in fields:
-        found = F.col("_spec")[f"_spec_{f}"]
+        found = F.col("_spec")["values"][f]
         if default is None:
             columns[f] = F.when(F.col("_spec").isNull(), F.raise_error(
                 F.concat(F.lit("no instrument spec for "), F.col(key)))).otherwise(found)

@@ -12,7 +12,7 @@ from panelspark.contract import (CLOSE, DATE, DAYS_PER_YEAR, HIGH, HL_TEMP, INDU
                                  MISSING_SECTOR, OPEN, QUANT, SECTOR, TICKER)
 from panelspark.functions import rolling as R
 from panelspark.functions.crosssection import join_back, with_group_ranks, with_group_stats, with_zscores
-from panelspark.functions.scalar import as_double, as_flag, flag, log_ratio, ratio, ratio_tiny
+from panelspark.functions.scalar import as_double, as_flag, flag, log_ratio, quoted, ratio, ratio_tiny
 from panelspark.operators.calendars import distinct_dates, session_index
 from panelspark.operators.joins import FAR, effective_sessions, event_neighbours, validity_lookup
 from panelspark.operators.quant import DOLLARS, LOG_RETURN, MARKET_WINDOWS, RETURN
@@ -253,9 +253,12 @@ def lag_windows(column: str) -> tuple[int, ...]:
 
 def add_feature_lags(df: DataFrame, chunk: int = 400) -> DataFrame:
     """``<col>_lag_<k>d`` as float for every numeric column the policy names.  One window spec
-    for all; very wide blocks are split to keep generated code small."""
+    for all; very wide blocks are split to keep generated code small.  A block is stated as SQL
+    text: hundreds of lags are one call instead of a dozen each."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     lags = [(c, k) for c in numeric for k in lag_windows(c)]
+    df = df.drop(*{f"{c}_lag_{k}d" for c, k in lags}.intersection(df.columns))
+    over = f"OVER (PARTITION BY {quoted(TICKER)} ORDER BY {quoted(DATE)})"
     for i in range(0, len(lags), chunk):
-        df = df.withColumns({f"{c}_lag_{k}d": R.lag(c, k).cast("float") for c, k in lags[i:i + chunk]})
+        df = df.selectExpr("*", *[f"CAST(lag({quoted(c)}, {k}) {over} AS FLOAT) AS {quoted(f'{c}_lag_{k}d')}" for c, k in lags[i:i + chunk]])
     return df

@@ -1,6 +1,7 @@
 """Joins, calendars, ingestion, labels, splits, ledger: hand-computed cases and error contracts."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from panelspark.operators import ingest as I
 from panelspark.operators import joins as J
 from panelspark.operators import labels as L
 from panelspark.operators import ledger as LG
+from panelspark.operators import market as M
 from panelspark.operators import signals as SG
 from panelspark.operators import splits as SP
 from panelspark.session import missing_to_null
@@ -172,6 +174,42 @@ def test_error_contracts(spark, tmp_path):
         J.validity_lookup(df.limit(1), spec, ["spread_bps"]).collect()
 
 
+def test_validity_lookup_against_all_versions(spark):
+    """Nested, adjoining, equal and open versions, gaps, missing starts, symbols in other case: the same as trying every version."""
+    rng = random.Random(5)
+    day = lambda n: D("2020-01-01") + dt.timedelta(days=n)
+    versions = []
+    for symbol in ("A", "b", "C", None):
+        for _ in range(60):
+            start = rng.randrange(80)
+            end = rng.choice([None, start + rng.randrange(-1, 30), start + rng.randrange(8)]) if symbol != "C" else start + rng.randrange(3)
+            versions.append((symbol, rng.choice([None, 1.0, 2.0, 3.0]), day(start) if rng.random() < 0.95 else None, None if end is None else day(end)))
+    versions = [v for v in versions if v[3] is not None or v[0] != "b"] + [("b", 9.0, day(40), None)]
+    spec = spark.createDataFrame(versions, "symbol string, spread_bps double, effective_from date, effective_to date")
+    points = [(day(n), t) for n in range(-3, 120) for t in ("A", "a", "B", "C", "none")]
+    df = spark.createDataFrame([*points, (day(5), None)], "date date, ticker string")
+
+    def best(date, ticker):
+        valid = [(s, str(e or ""), x is not None, x or 0.0, x) for name, x, s, e in versions
+                 if name and ticker and name.upper() == ticker.upper() and s and s <= date and (e is None or date <= e)]
+        return max(valid)[-1] if valid else -1.0
+
+    got = {(r["date"], r["ticker"]): r["spread_bps"] for r in J.validity_lookup(df, spec, ["spread_bps"], {"spread_bps": -1.0}).collect()}
+    assert len(got) == len(points) + 1 and got == {(d, t): best(d, t) for d, t in [*points, (day(5), None)]}
+    empty = J.validity_lookup(df, spec.limit(0), ["spread_bps"], {"spread_bps": -1.0})
+    assert {r["spread_bps"] for r in empty.collect()} == {-1.0}
+
+
+def test_lag_block_names_and_values(spark):
+    """Names that need quoting, a lag column that exists already, float results."""
+    df = spark.createDataFrame([(D(f"2020-01-0{i}"), "A", float(i), 2.0 * i, 7.0) for i in range(1, 8)],
+                               ["date", "ticker", "deep_a.b`c", "ta_x", "ta_x_lag_1d"])
+    rows = M.add_feature_lags(df, chunk=2).orderBy("date").collect()
+    assert [r["deep_a.b`c_lag_5d"] for r in rows] == [None] * 5 + [1.0, 2.0]
+    assert [r["ta_x_lag_1d"] for r in rows] == [None, 2.0, 4.0, 6.0, 8.0, 10.0, 12.0]
+    assert dict(M.add_feature_lags(df).dtypes)["ta_x_lag_21d"] == "float"
+
+
 def test_missing_values_become_null(spark):
     df = spark.createDataFrame([(float("nan"), 1), (float("inf"), 2), (3.0, 3)], "x double, i int")
     assert [x["x"] for x in missing_to_null(df).orderBy("i").collect()] == [None, None, 3.0]
