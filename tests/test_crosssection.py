@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from panelspark.functions import crosssection as X
 from panelspark.operators import evaluation as EV
 from panelspark.operators import signals as SG
+from panelspark.session import GROUP_BYTES_CONF, fits_one_task, groups_fit
+from tests.helpers import rows
 
 
 @pytest.fixture(scope="module")
@@ -143,3 +145,37 @@ def test_classification_metrics_by_definition(spark):
     assert got["mcc"] == pytest.approx(np.corrcoef(y, g)[0, 1])
     one = spark.createDataFrame([(1, 0.3), (1, 0.9)], "meta_label int, meta_probability double")
     assert EV.ranking_metrics(one).first().asDict() == {"average_precision": 0.0, "roc_auc": 0.5}
+
+
+def test_plan_follows_the_largest_group_not_all_input(spark, tmp_path, monkeypatch):
+    """Many small dates stay with plain windows however large the table is; one hot date is split."""
+    bars = [(f"2020-01-{1 + i % 20:02d}", f"T{i}", float(i % 7), float(i % 5)) for i in range(2000)]
+    spark.createDataFrame(bars, "date string, ticker string, x double, y double").withColumn("date", F.col("date").cast("date")).write.parquet(f"{tmp_path}/p")
+    df = spark.read.parquet(f"{tmp_path}/p")
+    stored = []
+    for module in (X, SG):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, name="stage", keep=X.cut_lineage: stored.append(name) or keep(df, name))
+    want = {x["date"]: x["rank_ic"] for x in SG.daily_signal_diagnostics(df, "x", "y", "y", 0.1, split=False).collect()}
+    try:
+        spark.conf.set(GROUP_BYTES_CONF, "8000")  # below the file, above a date of 100 rows
+        assert not fits_one_task(df) and groups_fit(df, ["date"], df.columns)
+        got = {x["date"]: x["rank_ic"] for x in SG.daily_signal_diagnostics(df, "x", "y", "y", 0.1).collect()}
+        assert not stored
+        spark.conf.set(GROUP_BYTES_CONF, "2000")
+        assert not groups_fit(df, ["date"], df.columns)
+        hot = {x["date"]: x["rank_ic"] for x in SG.daily_signal_diagnostics(df, "x", "y", "y", 0.1).collect()}
+        assert stored
+    finally:
+        spark.conf.unset(GROUP_BYTES_CONF)
+    assert got.keys() == want.keys() == hot.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 and abs(hot[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_rank_takes_one_sort(spark, tmp_path):
+    spark.range(50).selectExpr("id % 3 AS g", "CAST(nullif(id % 4, 0) AS DOUBLE) AS x").write.parquet(f"{tmp_path}/p")
+    df = spark.read.parquet(f"{tmp_path}/p").withColumn("r", X.average_rank(F.col("x"), ["g"]))
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window") == 1, plan
+    want = df.select("g", "x").toPandas()
+    want["r"] = want.groupby("g")["x"].rank()
+    assert rows(df) == rows(spark.createDataFrame(want.astype(object).where(want.notna(), None).values.tolist(), "g long, x double, r double"))
