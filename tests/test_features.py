@@ -39,6 +39,17 @@ def test_rolling_matches_pandas(spark, frame, name, mine, theirs):
     close_to(series(df.withColumn("v", mine()), "v"), want, 1e-7)
 
 
+def window_results(df):
+    """Window results that the plan computes for ``df``."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("windowspecdefinition(")
+
+
+@pytest.mark.parametrize("fn,sums", [(R.skew, 3), (R.kurt, 4)])
+def test_moments_read_a_frame_once_per_sum(spark, frame, fn, sums):
+    df = to_spark(spark, frame).withColumn("v", fn("stock_close_price", 12))
+    assert window_results(df) == sums + 1
+
+
 def test_return_moments_with_constant_prices(spark):
     flat = random_panel(1, 40, gaps=False).assign(stock_close_price=5.0)
     df = Q.return_moments(Q.returns(to_spark(spark, flat)))
