@@ -50,6 +50,16 @@ def test_moments_read_a_frame_once_per_sum(spark, frame, fn, sums):
     assert window_results(df) == sums + 1
 
 
+def test_median_is_one_window_result_and_equals_the_percentile(spark):
+    rows = [(t, i, None if i % 7 == 3 else float((i * i * 13) % 11) / 3 - 1) for t in ("A", None) for i in range(60)] + [("B", i, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "ticker string, day int, x double").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("day")))
+    for n, least, end in ((9, None, 0), (9, 3, 0), (8, 0, 0), (10, 4, -1)):
+        got = df.withColumn("v", R.median("x", n, least, end))
+        assert window_results(got) == 1
+        want = R.rolling(lambda c: F.percentile(c, F.lit(0.5)), "x", n, least, end)
+        assert got.withColumn("w", want).where(~F.col("v").eqNullSafe(F.col("w"))).count() == 0
+
+
 def test_return_moments_with_constant_prices(spark):
     flat = random_panel(1, 40, gaps=False).assign(stock_close_price=5.0)
     df = Q.return_moments(Q.returns(to_spark(spark, flat)))
