@@ -55,15 +55,17 @@ def expand_intervals(intervals: DataFrame, sessions: DataFrame, start: str = "st
     """Distinct (date, key) for every session inside an interval.
 
     Intervals are clipped to the first and last session before they are unrolled, so an open end costs no
-    more days than the calendar has.
+    more days than the calendar has, and those of one key are merged, so a day is unrolled once and the days
+    need no shuffle.
     """
     dates = distinct_dates(sessions)
     first, last = (dates.agg(f(DATE)).scalar() for f in (F.min, F.max))
     clipped = (intervals.where(F.col(start) <= F.col(end))
                .select(key, F.greatest(F.col(start), first).alias("_from"), F.least(F.col(end), last).alias("_to"))
                .where(F.col("_from") <= F.col("_to")))
-    days = clipped.select(key, F.explode(F.sequence("_from", "_to")).alias(DATE))
-    return days.join(F.broadcast(dates), DATE, "left_semi").select(DATE, key).distinct()
+    merged = merge_intervals(clipped, key, "_from", "_to")
+    days = merged.select(key, F.explode(F.sequence("_from", "_to")).alias(DATE))
+    return days.join(F.broadcast(dates), DATE, "left_semi").select(DATE, key)
 
 
 def intersect_intervals(membership: DataFrame, specs: DataFrame, pipeline_end: Column, group: str = "stock_cash",

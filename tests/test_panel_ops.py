@@ -261,6 +261,18 @@ def test_open_intervals_are_clipped_to_the_sessions(spark):
     assert J.expand_intervals(spells, sessions.limit(0)).count() == 0
 
 
+def test_overlapping_intervals_are_unrolled_once_without_a_shuffle_of_days(spark):
+    rows = [("A", 0, 3), ("A", 0, 3), ("A", 2, 5), ("A", 6, 7), ("A", 1, 1), ("A", 12, 14), ("A", 9, 8), (None, 1, 2), (None, 2, 4), ("B", 5, None)]
+    day = lambda c: F.date_add(F.lit("2020-01-01").cast("date"), F.col(c))
+    spells = spark.createDataFrame(rows, "ticker string, f int, t int").select("ticker", day("f").alias("start_date"), day("t").alias("end_date"))
+    sessions = spark.range(0, 14, 2).select(F.col("id").cast("int").alias("id")).select(day("id").alias("date"))
+    df = J.expand_intervals(spells, sessions)
+    got = sorted((x["ticker"] or "", x["date"].toordinal() - dt.date(2020, 1, 1).toordinal()) for x in df.collect())
+    assert got == [("", 2), ("", 4), ("A", 0), ("A", 2), ("A", 4), ("A", 6), ("A", 12)]
+    above = df._jdf.queryExecution().executedPlan().toString().split("Generate explode(sequence")[0]
+    assert "Exchange hashpartitioning" not in above
+
+
 def test_a_failed_check_leaves_the_published_version(spark, tmp_path):
     path = str(tmp_path / "out")
     first = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "ticker string, x double")
