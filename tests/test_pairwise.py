@@ -6,6 +6,7 @@ import pytest
 from panelspark.functions import crosssection as X
 from panelspark.operators import pairwise as PW
 from panelspark.operators import selection as SL
+from panelspark.session import cut_lineage
 from pyspark.sql import functions as F
 
 
@@ -78,6 +79,34 @@ def test_discordant_sums():
         assert PW.discordant(u, v, *w) == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("m", [31, 32, 33, 64, 65, 500, 1000])
+@pytest.mark.parametrize("values", [3, 40, 10_000])
+def test_discordant_sums_across_leaves(m, values):
+    rng = np.random.default_rng(m)
+    u, v = rng.integers(0, values, m).astype(float), rng.integers(0, values, m).astype(float)
+    w = rng.normal(0, 1, (4, m))
+    met = (u[None, :] < u[:, None]) & (v[None, :] > v[:, None])
+    want = (met * (w[3][:, None] * w[0] - w[1][:, None] * w[2] - w[2][:, None] * w[1] + w[0][:, None] * w[3])).sum()
+    assert PW.discordant(u, v, *w) == pytest.approx(want, abs=1e-7)
+
+
+def test_distance_stores_packs_and_not_a_row_for_each_point(spark, monkeypatch):
+    stored = {}
+
+    def kept(df, name="stage"):
+        stored[name] = cut_lineage(df, name)
+        return stored[name]
+    monkeypatch.setattr(PW, "cut_lineage", kept)
+    monkeypatch.setattr(PW, "HELD", 1 << 10)  # many chunks
+    data = columns(3000, 6)[["a", "b", "hot"]]
+    pairs = spark.createDataFrame([("a", "b"), ("a", "hot")], "left string, right string")
+    got = {(r["left"], r["right"]): r["value"] for r in PW.PairMetrics(frame(spark, data), ["a", "b", "hot"]).of(pairs, "distance").collect()}
+    for (a, b), value in got.items():
+        assert value == pytest.approx(defined_distance(data[a].to_numpy(), data[b].to_numpy()), abs=1e-9)
+    assert len(got) == 2 and len(stored) > 3
+    assert all(df.count() < 1000 for name, df in stored.items() if name != "pair_rows")
+
+
 def test_values_in_a_narrow_band_are_spread(spark):
     rng = np.random.default_rng(4)
     rows = spark.createDataFrame([(float(x),) for x in 100 + 0.2 * rng.random(20_000)], "x double")
