@@ -60,6 +60,23 @@ def test_median_is_one_window_result_and_equals_the_percentile(spark):
         assert got.withColumn("w", want).where(~F.col("v").eqNullSafe(F.col("w"))).count() == 0
 
 
+def test_frame_sums_read_the_shortest_frame_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = [(t, i, None if rng.random() < 0.05 else float(rng.normal(1e3, 1))) for t, n in (("A", 300), ("B", 40), (None, 270)) for i in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "ticker string, row long, x double").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("row").cast("int")))
+    sizes = (5, 10, 21, 63, 126, 252)
+    got = R.with_frame_sums(df, ["x"], sizes, "row", "s_", same=("x",))
+    assert got.columns == [*df.columns, "s_x_known", "s_x_same", *[f"s_x_{n}" for n in sizes]]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RowFrame, -4, currentrow" in plan
+    assert not [n for n in sizes[1:] if f"RowFrame, -{n - 1}, currentrow" in plan]
+    want = df.withColumns({f"w{n}": F.coalesce(F.sum("x").over(R.last_rows(n)), F.lit(0.0)) for n in sizes})
+    both = got.join(want.drop("x", "date").withColumnRenamed("ticker", "t"), (F.col("ticker").eqNullSafe(F.col("t"))) & (got.row == want.row))
+    assert both.count() == len(rows)
+    for n in sizes:
+        assert both.where(F.abs(F.col(f"s_x_{n}") - F.col(f"w{n}")) > 1e-9 * F.abs(F.col(f"w{n}"))).count() == 0
+
+
 def test_return_moments_with_constant_prices(spark):
     flat = random_panel(1, 40, gaps=False).assign(stock_close_price=5.0)
     df = Q.return_moments(Q.returns(to_spark(spark, flat)))
