@@ -77,6 +77,22 @@ def test_frame_sums_read_the_shortest_frame_alone(spark):
         assert both.where(F.abs(F.col(f"s_x_{n}") - F.col(f"w{n}")) > 1e-9 * F.abs(F.col(f"w{n}"))).count() == 0
 
 
+def test_drawdown_and_aroon_match_pandas_and_read_short_frames(spark):
+    frame = random_panel(2, 330, seed=9).round(1)
+    rng = np.random.default_rng(2)
+    frame.loc[rng.choice(40, 3, replace=False), "stock_close_price"] = np.nan
+    df = Q.drawdown(to_spark(spark, frame))
+    assert "RowFrame, -251, currentrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for n in Q.DRAWDOWN_WINDOWS:
+        close_to(series(df, f"quant_drawdown_{n}d"), per_ticker(frame, lambda g: g["stock_close_price"] / g["stock_close_price"].rolling(n).max() - 1))
+        close_to(series(df, f"quant_rebound_from_low_{n}d"), per_ticker(frame, lambda g: g["stock_close_price"] / g["stock_close_price"].rolling(n).min() - 1))
+    df = TA.trend_indicators(to_spark(spark, frame))
+    assert "_by(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    # Of equal extremes the latest counts.
+    close_to(series(df, "ta_trend_aroon_up"), per_ticker(frame, lambda g: g["stock_high_price"].rolling(26).apply(lambda v: 4.0 * (25 - np.argmax(v[::-1])), raw=True)))
+    close_to(series(df, "ta_trend_aroon_down"), per_ticker(frame, lambda g: g["stock_low_price"].rolling(26).apply(lambda v: 4.0 * (25 - np.argmin(v[::-1])), raw=True)))
+
+
 def test_return_moments_with_constant_prices(spark):
     flat = random_panel(1, 40, gaps=False).assign(stock_close_price=5.0)
     df = Q.return_moments(Q.returns(to_spark(spark, flat)))
