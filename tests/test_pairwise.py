@@ -153,3 +153,30 @@ def test_chain_of_close_features(spark):
     pairs = spark.createDataFrame([("s", f"f{i:02}", f"f{i + 1:02}", 0.9) for i in range(n - 1)], "scope string, left string, right string, value double")
     kept = {r["feature"] for r in SL.best_of_close(ranked, pairs, "global", 0.8).where("decision = 'keep'").collect()}
     assert kept == {f"f{i:02}" for i in range(0, n, 2)}
+
+
+def test_ranks_of_copies_over_many_blocks(spark, monkeypatch):
+    """Copies of a value that fill whole blocks, and both zeros, have one rank; no value is stored or dealt as a row of its own after the first time."""
+    monkeypatch.setattr(PW, "BLOCK", 20)
+    rng = np.random.default_rng(6)
+    data = pd.DataFrame({"a": np.where(rng.random(400) < 0.6, 0.0, rng.normal(0, 1, 400)), "b": rng.integers(0, 3, 400).astype(float), "c": rng.normal(0, 1, 400)})
+    data.loc[data.a == 0, "a"] = np.where(rng.random(int((data.a == 0).sum())) < 0.5, 0.0, -0.0)
+    data.loc[::7, "c"] = np.nan
+    stored = []
+    monkeypatch.setattr(PW, "cut_lineage", lambda df, name="stage": stored.append(cut_lineage(df, name)) or stored[-1])
+    metrics = PW.PairMetrics(frame(spark, data), ["a", "b", "c"])
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c")], "left string, right string")
+    for r in metrics.of(pairs, "spearman").collect():
+        assert r["value"] == pytest.approx(defined_correlation(data[r["left"]].to_numpy(), data[r["right"]].to_numpy(), True), abs=1e-12)
+    assert max(s.count() for s in stored[1:]) < 300
+
+
+def test_copies_in_other_blocks_are_counted():
+    rng = np.random.default_rng(2)
+    v = np.sort(rng.integers(0, 4, 60))
+    cut = np.unique(rng.integers(1, 60, 15))
+    parts = np.split(v, cut)
+    blocks = [(0, b, len(p), float(p[0]), int((p == p[0]).sum()), float(p[-1]), int((p == p[-1]).sum())) for b, p in enumerate(parts)]
+    for (_, b, before, less, more, total), p, start in zip(PW._ties_beyond(blocks[::-1]), parts, [0, *cut]):
+        assert (before, total) == (start, 60)
+        assert less == (v[:start] == p[0]).sum() and more == (v[start + len(p):] == p[-1]).sum()
